@@ -5,7 +5,8 @@
    driver can make the code from them; each code has at most 16 bits, or as many as the vocabulary
    needs.
 3. Each document becomes a run of bits that starts on a byte, with the bit offset of each 256th id as
-   a checkpoint. Coded documents are ranged by doc_id and gathered in blocks of about BLOCK ids.
+   a checkpoint. Coded documents are dealt to parts by ranges of doc_id, whose bounds are quantiles of
+   the ids alone, and gathered in blocks of about BLOCK ids.
 4. A block is a row of a Parquet table, readable by itself: doc_ids, counts, bits, checkpoints, and
    the number of ids before it in its part. `parts` has the ids of each part and before it.
 Reading decodes all stretches between checkpoints of a block side by side by look-ups in one table.
@@ -33,7 +34,7 @@ from .store import new_path, partitions, written
 from .tokens import encoder
 
 BLOCK = 1 << 16
-CODED = "doc_id long, n_tokens long, bits binary, marks binary"
+CODED = "doc_id long, n_tokens long, bits binary, marks binary, part int"
 BLOCKS = "part int, block int, before long, doc_ids binary, known binary, n_tokens binary, sizes binary, bits binary, marks binary"
 
 
@@ -50,23 +51,26 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, space: str | None, en
 def _counted(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        now = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
-        if len(now) > len(total):
-            total = np.append(total, np.zeros(len(now) - len(total), np.int64))
-        total[: len(now)] += now
+        texts = batch.column("ids").to_pylist()
+        for at in range(0, len(texts), 64):
+            now = np.bincount(np.frombuffer(b"".join(texts[at : at + 64]), kind), minlength=len(total))
+            now[: len(total)] += total
+            total = now
     ids = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
 
-def _coded(batches: Iterator[pa.RecordBatch], kind: str, lengths: Broadcast) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch], kind: str, lengths: Broadcast, bounds: list[int]) -> Iterator[pa.RecordBatch]:
     sizes = lengths.value
     codes = huffman.canonical(sizes)
     for batch in batches:
         docs = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
+        ident = batch.column("doc_id")
+        part = np.where(ident.is_valid(), np.searchsorted(np.array(bounds, np.int64), ident.fill_null(0).to_numpy(), side="left"), 0).astype(np.int32)
         at = 0
         while at < len(docs):
             to, held = at, 0
-            while to < len(docs) and (to == at or held + len(docs[to]) <= 1 << 20):
+            while to < len(docs) and (to == at or held + len(docs[to]) <= BLOCK):
                 held += len(docs[to])
                 to += 1
             count = np.array([len(x) for x in docs[at:to]])
@@ -75,12 +79,13 @@ def _coded(batches: Iterator[pa.RecordBatch], kind: str, lengths: Broadcast) ->
             first = first.tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(at, to - at),
+                    ident.slice(at, to - at),
                     pa.array(count),
                     pa.array([bits[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
                     pa.array([marks[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                    pa.array(part[at:to]),
                 ],
-                ["doc_id", "n_tokens", "bits", "marks"],
+                ["doc_id", "n_tokens", "bits", "marks", "part"],
             )
             at = to
 
@@ -112,8 +117,8 @@ def _read(batches: Iterator[pa.RecordBatch], lengths: Broadcast) -> Iterator[pa.
     decoder = huffman.Decoder(lengths.value)
     for batch in batches:
         rows = batch.to_pylist()
-        for at in range(0, len(rows), 16):
-            yield from _decoded(rows[at : at + 16], decoder)
+        for at in range(0, len(rows), 8):
+            yield from _decoded(rows[at : at + 8], decoder)
 
 
 def _decoded(rows: list[dict], decoder: huffman.Decoder) -> Iterator[pa.RecordBatch]:
@@ -165,8 +170,10 @@ def write(docs: DataFrame, path: str, space: str | None, end: int, block: int =
     files = TokenFiles(*(new_path(spark, x) for x in ("blocks", "parts", "code")))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, bits int").coalesce(1).write.parquet(files.code)
     shared = spark.sparkContext.broadcast(lengths)
-    coded = tokens.mapInArrow(partial(_coded, kind=kind, lengths=shared), CODED)
-    ranged = coded.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "bits")
+    parts = partitions(spark)
+    bounds = tokens.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    coded = tokens.mapInArrow(partial(_coded, kind=kind, lengths=shared, bounds=bounds), CODED)
+    ranged = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "bits")
     ranged.mapInArrow(partial(_blocks, block=block), BLOCKS).write.option("compression", "none").parquet(files.blocks)
     each = spark.read.parquet(files.blocks).select("part", "n_tokens").mapInArrow(_block_sizes, "part int, n_tokens long").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per part
