@@ -68,10 +68,34 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _settled(bucket: np.ndarray, other: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal (bucket, other) the one of smallest (doc, lo) leads and the rest follow.
+
+    Returns which rows follow and which lead others. A follower is settled where it is, so that a
+    passage of very many copies sends one row from each batch to the task of its bucket.
+    """
+    order = np.lexsort((lo, doc, other, bucket))
+    b, o = bucket[order], other[order]
+    same = (b[1:] == b[:-1]) & (o[1:] == o[:-1])
+    follows, leads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    follows[order[1:]] = same
+    first = np.append(True, ~same)
+    leads[order[:-1]] = first[:-1] & same
+    return follows, leads
+
+
+def _alone(bucket: np.ndarray, tid: pa.Array, lo: np.ndarray) -> np.ndarray:
+    """A bucket of its own for each settled row, so that these are dealt out evenly."""
+    text = np.frombuffer(b"".join(x[:8] for x in tid.to_pylist()), np.uint64) if len(tid) else np.empty(0, np.uint64)
+    return grams.mix(text, lo.astype(np.uint64))
+
+
 def _postings(batches: Iterator[pa.RecordBatch], unit: str, gram: int, window: int) -> Iterator[pa.RecordBatch]:
     units_of, ids_of, have = UNITS[unit]
     for batch in batches:
         texts = [units_of(t) for t in _texts(batch)]
+        docs = batch.column("doc").to_numpy(zero_copy_only=False)
+        made: list[tuple[np.ndarray, ...]] = []
         for part in grams.pieces([len(t) for t in texts], window - 1):
             size = np.array([to - at for _, at, to in part])
             ends = np.cumsum(size)
@@ -82,8 +106,14 @@ def _postings(batches: Iterator[pa.RecordBatch], unit: str, gram: int, window: i
             if len(d):
                 index = np.array([i for i, _, _ in part])[d]
                 lo = lo + np.array([at for _, at, _ in part])[d]
-                take = pa.array(index)
-                yield pa.RecordBatch.from_arrays([_signed(bucket), _signed(ctx), batch.column("tid").take(take), batch.column("doc").take(take), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], ["bucket", "ctx", "tid", "doc", "lo", "n"])
+                made.append((index, lo, n, bucket, ctx))
+        if made:
+            index, lo, n, bucket, ctx = (np.concatenate(x) for x in zip(*made, strict=True))
+            tid = batch.column("tid").take(pa.array(index))
+            follows, leads = _settled(bucket, ctx, docs[index], lo)
+            bucket[follows] = _alone(bucket, tid.filter(pa.array(follows)), lo[follows])
+            state = np.where(follows, 2, leads.astype(int)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([_signed(bucket), _signed(ctx), tid, pa.array(docs[index]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(state)], ["bucket", "ctx", "tid", "doc", "lo", "n", "state"])
 
 
 def _expanded(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iterator[pa.RecordBatch]:
@@ -99,8 +129,14 @@ def _expanded(batches: Iterator[pa.RecordBatch], unit: str, window: int) -> Iter
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             rows = np.repeat(np.array([x[0] for x in held]), n)
             start = np.repeat(np.array([x[2] for x in held]), n) + within
-            take = pa.array(rows)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([x[1] for x in held], np.int64), n)), _signed(ids[np.repeat(begins, n) + within]), batch.column("tid").take(take), batch.column("doc").take(take), pa.array(start.astype(np.int32))], ["bucket", "wid", "tid", "doc", "start"])
+            tid = batch.column("tid").take(pa.array(rows))
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)[rows]
+            bucket = np.repeat(np.array([x[1] for x in held], np.int64), n).view(np.uint64)
+            wid = ids[np.repeat(begins, n) + within]
+            follows, leads = _settled(bucket, wid, doc, start)
+            bucket[follows] = _alone(bucket, tid.filter(pa.array(follows)), start[follows])
+            state = np.where(follows, 2, leads.astype(int)).astype(np.int8)
+            return pa.RecordBatch.from_arrays([_signed(bucket), _signed(wid), tid, pa.array(doc), pa.array(start.astype(np.int32)), pa.array(state)], ["bucket", "wid", "tid", "doc", "start", "state"])
 
         for row, (text, todo) in enumerate(zip(_texts(batch), batch.column("todo").to_pylist(), strict=True)):
             units = units_of(text)
@@ -121,23 +157,24 @@ def repeated_windows(base: DataFrame, unit: str, gram: int, window: int, later_o
     a text without an id comes after all others.
     """
     mapped = base.select("tid", F.coalesce("doc", F.lit(NO_DOC)).alias("doc"), "text")
-    posts = mapped.mapInArrow(partial(_postings, unit=unit, gram=gram, window=window), "bucket long, ctx long, tid binary, doc long, lo int, n int")
+    posts = mapped.mapInArrow(partial(_postings, unit=unit, gram=gram, window=window), "bucket long, ctx long, tid binary, doc long, lo int, n int, state byte")
     anchor, context = Window.partitionBy("bucket"), Window.partitionBy("bucket", "ctx")
     met = (
         posts.repartition("bucket")
         .sortWithinPartitions("bucket", "ctx", "doc", "lo", "tid")
-        .withColumn("mixed", F.min("ctx").over(anchor) != F.max("ctx").over(anchor))
+        .withColumn("mixed", F.expr("state < 2") & (F.min("ctx").over(anchor) != F.max("ctx").over(anchor)))
         .withColumn("same", F.count(F.lit(1)).over(context))
         .withColumn("first", F.row_number().over(context.orderBy("doc", "lo", "tid")) == 1)
-        .filter("mixed or same > 1")
-        .select("bucket", "tid", "doc", "lo", "n", "mixed", (F.col("same") > 1).alias("shared"), "first")
+        .filter("mixed or same > 1 or state > 0")
+        .select("bucket", "tid", "doc", "lo", "n", "mixed", F.expr("same > 1 or state > 0").alias("shared"), F.expr("first and state < 2").alias("first"))
     )
     met = written(met, "met")
     whole = met.filter("shared and not first" if later_only else "shared").select("tid", "lo", "n")
     todo = met.filter("mixed and first").groupBy("tid").agg(F.collect_list(F.struct("bucket", "lo", "n")).alias("todo"))
-    single = mapped.join(todo, "tid").mapInArrow(partial(_expanded, unit=unit, window=window), "bucket long, wid long, tid binary, doc long, start int")
+    single = mapped.join(todo, "tid").mapInArrow(partial(_expanded, unit=unit, window=window), "bucket long, wid long, tid binary, doc long, start int, state byte")
     same = Window.partitionBy("bucket", "wid")
-    mark = F.rank().over(same.orderBy("doc", "start")) > 1 if later_only else F.count(F.lit(1)).over(same) > 1
+    met_again = F.rank().over(same.orderBy("doc", "start")) > 1 if later_only else F.count(F.lit(1)).over(same) > 1
+    mark = met_again | F.expr("state = 2" if later_only else "state > 0")
     ends = single.withColumn("mark", mark).filter("mark").select("tid", F.col("start").alias("lo"), F.lit(1).alias("n"))
     return whole.unionByName(ends)
 
