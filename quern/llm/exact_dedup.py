@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions, written
+from .store import partitions
 
 FAN = 8
 
@@ -85,6 +85,6 @@ def exact_dedup(docs: DataFrame, largest: bool = True) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = digests(docs)
     groups = merge_runs(rows.withColumn("n", F.lit(1).cast("long")), largest)
-    groups = written(groups.select(F.col("sha").alias("text_sha256"), F.col("ident").alias("keep_id"), F.col("n").alias("group_size")), "groups")
+    groups = groups.select(F.col("sha").alias("text_sha256"), F.col("ident").alias("keep_id"), F.col("n").alias("group_size"))
     joined = rows.select(F.col("ident").alias("doc_id"), F.col("sha").alias("text_sha256")).join(groups, "text_sha256")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

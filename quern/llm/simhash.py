@@ -198,5 +198,5 @@ def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -
     member = components(links)
     root = nodes.join(member, nodes["print"] == member["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = written(root.join(least, "root").select("print", "component_id"), "labels")
+    labels = root.join(least, "root").select("print", "component_id")
     return rows.join(labels, "print").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import covered, repeated_windows, split_words
-from .store import distinct_texts, texts_of, written
+from .store import distinct_texts, texts_of
 
 WINDOW = 20
 GRAM = 8
@@ -60,7 +60,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """Per row of docs: doc_id, n_words, n_removed, kept_sha256."""
     texts = texts_of(docs)
     cut = remove_repeated_words(distinct_texts(texts), window, gram)
-    cut = written(cut.select("tid", F.col("doc").alias("first_doc"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")), "cut")
+    cut = cut.select("tid", F.col("doc").alias("first_doc"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
     later = (F.col("n_words") >= window) & ~F.col("doc").eqNullSafe(F.col("first_doc"))
     return texts.select("doc", "tid").join(cut, "tid").select(
         F.col("doc").alias("doc_id"),

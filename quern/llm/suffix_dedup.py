@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import covered, repeated_windows
-from .store import distinct_texts, texts_of, written
+from .store import distinct_texts, texts_of
 
 LENGTH = 400
 GRAM = 256
@@ -60,5 +60,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = texts_of(docs)
     cut = remove_repeated_bytes(distinct_texts(texts), length, gram)
-    cut = written(cut.select("tid", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "cut")
+    cut = cut.select("tid", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     return texts.select(F.col("doc").alias("doc_id"), "tid").join(cut, "tid").drop("tid")
