@@ -32,7 +32,7 @@ SEED = 42
 PARTS = 1000
 MAX_SOURCES = 256
 #: Rows of one source that one task numbers, about.
-RANGE = 50_000
+RANGE = 4_000
 
 
 def period(parts: list[int]) -> list[list[int]]:
