@@ -1 +1,86 @@
-"""Functions of the engine."""
+"""Functions of the MariaDB, PostgreSQL and SQLite dialects as expressions of Spark columns.
+
+Only those that Spark lacks or means differently are here; the rest are pyspark.sql.functions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def field(value: Column, *options: str) -> Column:
+    """The 1-based place of value among the options, 0 if it is null or none (FIELD)."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, options)), value), F.lit(0)).cast("int")
+
+
+def elt(n: Column, *options: str) -> Column:
+    """The n-th option, null outside them (ELT)."""
+    return F.when(n.between(1, len(options)), F.element_at(F.array(*map(F.lit, options)), F.greatest(n, F.lit(1)).cast("int")))
+
+
+def insert_text(text: Column, at: int, length: int, new: str) -> Column:
+    """text with `length` characters from `at` replaced (INSERT, OVERLAY)."""
+    return F.overlay(text, F.lit(new), at, length)
+
+
+def strcmp(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as a sorts before, with or after b (STRCMP)."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def initial_upper(text: Column) -> Column:
+    """Upper case after anything that is no letter or digit (PostgreSQL's INITCAP)."""
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), 0)
+    return F.array_join(F.transform(pieces, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x)))), "")
+
+
+def integer_division(a: Column, b: Column) -> Column:
+    """The quotient cut towards zero, null for division by zero (DIV)."""
+    return F.when(b != 0, (a / b).cast("long"))
+
+
+def truncate(x: Column, digits: int) -> Column:
+    """x cut towards zero after `digits` decimals (TRUNCATE, TRUNC)."""
+    scale = F.lit(10.0**digits)
+    return F.when(x < 0, F.ceil(x * scale)).otherwise(F.floor(x * scale)) / scale
+
+
+def since_epoch(ts: Column, unit: str = "SECOND") -> Column:
+    """Whole units since 1970, without a time zone (UNIX_TIMESTAMP, EXTRACT(EPOCH))."""
+    return F.timestamp_diff(unit, F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def week_start(ts: Column) -> Column:
+    """The Monday of the week (DATE_TRUNC('week'))."""
+    return F.to_date(F.date_trunc("week", ts))
+
+
+def quarter_label(ts: Column) -> Column:
+    return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))
+
+
+def months_between_whole(start: Column, end: Column) -> Column:
+    """Whole months from start to end (TIMESTAMPDIFF(MONTH, ...))."""
+    return F.months_between(end, start).cast("int")
+
+
+def ip_to_number(text: Column) -> Column:
+    """The number of a dotted IPv4 address (INET_ATON)."""
+    part = [F.try_element_at(F.split(text, r"\."), F.lit(i)).cast("long") for i in range(1, 5)]
+    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
+
+
+def number_to_ip(n: Column) -> Column:
+    """The dotted IPv4 address of a number (INET_NTOA)."""
+    return F.concat_ws(".", *[F.pmod(F.shiftright(n.cast("long"), s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+
+
+def json_number(text: Column, path: str) -> Column:
+    """The number at a path of a JSON text, null if there is none (JSON_EXTRACT, ->>)."""
+    return F.get_json_object(text, path).cast("double")
+
+
+def safe_divide(a: Column, b: Column) -> Column:
+    """a / b, null for division by zero, as in MariaDB."""
+    return F.when(b != 0, a / b)

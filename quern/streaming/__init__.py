@@ -1 +1,17 @@
-"""Streaming of the engine."""
+"""Structured Streaming over folders of Parquet files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+def file_stream(spark: SparkSession, folder: str, schema: StructType, files_at_once: int = 1) -> DataFrame:
+    """New files of a folder as a stream."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(folder)
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Counts and sums by window and type; state older than the watermark is dropped."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
