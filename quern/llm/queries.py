@@ -96,6 +96,17 @@ FROM (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTU
 WINDOW same AS (PARTITION BY text_sha256)
 """
 
+OP4 = r"""
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM split),
+win AS (SELECT doc_id, i, word, CASE WHEN i + 19 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS s FROM word),
+again AS (SELECT *, CASE WHEN s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 THEN i END AS rep FROM win),
+hit AS (SELECT *, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS by_rep FROM again),
+total AS (SELECT doc_id, count(by_rep) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (by_rep IS NULL), '')) AS kept_sha256 FROM hit GROUP BY doc_id)
+SELECT split.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM split LEFT JOIN total USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2, "op3_exact_dedup": OP3}
+    return {"op2_chat": OP2, "op3_exact_dedup": OP3, "op4_substring_dedup": OP4}

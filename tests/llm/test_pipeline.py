@@ -1,0 +1,48 @@
+"""The pipeline stage by stage against brute force, and the SQL of the operators' queries."""
+
+import re
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from quern.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    kept = {x.doc_id: x.text or "" for x in docs.select("doc_id", "text").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = dict(kept)
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        kept = {x.doc_id: x.text or "" for x in docs.select("doc_id", "text").collect()}
+        assert kept.items() <= before.items()
+        if name == "quality_rules":
+            assert all(len(re.findall(r"[^\x20\x09-\x0D]+", t)) >= 50 for t in kept.values())
+        if name == "exact_dedup":
+            best = {}
+            for i, t in before.items():
+                key = t.encode().lower()
+                best[key] = max(best.get(key, i), i)
+            assert set(kept) == set(best.values())
+        if name == "mixing":
+            assert kept == before
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {x.doc_id for x in packed} == set(kept)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted((x.doc_id, x.piece, x.length) for x in packed)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("documents", "conversations"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = queries.queries()[name](spark, SF)
+    want = c.sql(queries.oracle_sql()[name])
+    order = sorted(want.columns)
+    assert sorted(map(tuple, found.select(*order).collect())) == sorted(want.project(", ".join(order)).fetchall())
