@@ -4,14 +4,19 @@ A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. Of at most
 segments hold at most one each. The perfect Golay code of length 23 decodes every segment to the one
 codeword within 3 bits; the other of two segments that differ in one bit has that codeword within 4,
 of which there are 1 or 6. So for each two segments a fingerprint is filed under one pair of codeword
-indices and looked up under 1 to 36 pairs, and fingerprints within 3 bits always meet. Those that
-meet are verified on all 64 bits.
+indices and looked up under 1 to 36 pairs, and fingerprints within 3 bits always meet. Two segments
+that differ in two bits still share a codeword within 4 bits of both, the one nearest to the segment
+halfway; so if a fingerprint is filed under all pairs that have a nearest codeword, those within 5 bits
+meet as well. Those that meet are verified on all 64 bits, and on request by the Jaccard similarity of
+their texts' shingles.
 
 Equal fingerprints are one node. A bucket gives a spanning forest of its links, never all pairs, and
 components come from rounds of joins (components.components).
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
-text of fewer words than a shingle has one shingle, the whole. component_id is the smallest doc_id
+text of fewer words than a shingle has one shingle, the whole. Texts of equal fingerprints are linked
+without a look at their similarity; where that is asked for, the text of the smallest doc_id stands for
+a fingerprint, and one without any doc_id is linked to no other. component_id is the smallest doc_id
 reachable; null only if no row of the component has one. Repeated rows count as equal fingerprints.
 An empty table gives an empty result. Other columns are ignored.
 """
@@ -28,11 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import grams
 from .components import components
+from .repeats import word_ids
 from .store import written
 
 SHINGLE = 3
 MAX_BITS = 3
+#: Of these keys, the most bits that two fingerprints may differ in and still always meet.
+WIDE_BITS = 5
 SEED = 42
 #: The generator polynomial of the binary Golay code of length 23: x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
@@ -101,7 +110,7 @@ def _codewords(segment: np.ndarray) -> np.ndarray:
     return np.where(error < 0, -1, (segment[:, None] ^ error) >> 11)
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Arrays key, filed and index of the fingerprint, for all places where each is filed or looked up."""
     segments = [(prints & np.uint64((1 << 23) - 1)).astype(np.int64), (prints >> np.uint64(23) & np.uint64((1 << 23) - 1)).astype(np.int64), (prints >> np.uint64(46)).astype(np.int64)]
     words = [_codewords(s) for s in segments]
@@ -112,18 +121,20 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = (a >= 0) & (b >= 0)
         home = np.zeros_like(ok)
         home[:, 0, 0] = True
+        if wide:
+            home[:, 0, :] = home[:, :, 0] = True
         keys.append(key[ok])
         filed.append(home[ok])
         index.append(np.broadcast_to(np.arange(len(prints))[:, None, None], ok.shape)[ok])
     return np.concatenate(keys), np.concatenate(filed), np.concatenate(index)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = batch.column("print").to_numpy(zero_copy_only=False)
         for at in range(0, len(prints), 2048):
             part = prints[at : at + 2048]
-            key, filed, index = keys_of(part.view(np.uint64))
+            key, filed, index = keys_of(part.view(np.uint64), wide)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(filed), pa.array(part[index])], ["key", "filed", "print"])
 
 
@@ -186,15 +197,44 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits)
 
 
-def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint, component_id."""
-    if not 0 <= max_bits <= MAX_BITS:
-        raise ValueError("the keys find fingerprints of at most 3 differing bits")
+def shingles(data: bytes, size: int) -> np.ndarray:
+    """The different runs of `size` lower-cased words, as identifiers."""
+    ids = word_ids(data.lower())
+    return np.unique(grams.gram_ids(ids, 1, min(size, len(ids)))) if len(ids) else ids
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [shingles(t, size).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(found, pa.list_(pa.int64()))], ["print", "shingles"])
+
+
+def _similar(links: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of links (a, b) whose texts are similar. nodes: print, least; texts: doc, text."""
+    ends = links.select(F.col("a").alias("end")).unionByName(links.select(F.col("b").alias("end"))).distinct()
+    needed = nodes.join(ends, F.col("print") == F.col("end"), "left_semi")
+    own = texts.join(needed, F.col("doc") == F.col("least")).select("print", "text").dropDuplicates(["print"])
+    sets = written(own.mapInArrow(partial(_shingled, size=words), "print long, shingles array<bigint>"), "shingles")
+    one, two = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
+    both = links.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+
+
+def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, words: int = 5, similarity: float | None = None) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint, component_id.
+
+    Fingerprints of `shingle`-word shingles link at max_bits or fewer differing bits; with similarity,
+    only if also that share of the `words`-word shingles of both texts is common.
+    """
+    if not 0 <= max_bits <= WIDE_BITS:
+        raise ValueError(f"the keys find fingerprints of at most {WIDE_BITS} differing bits")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(slim.mapInArrow(partial(_fingerprints, size=shingle), "doc long, print long"), "prints")
     nodes = written(rows.groupBy("print").agg(F.min("doc").alias("least")), "nodes")
-    places = nodes.select("print").mapInArrow(_places, "key int, filed boolean, print long")
+    places = nodes.select("print").mapInArrow(partial(_places, wide=max_bits > MAX_BITS), "key int, filed boolean, print long")
     links = places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long")
+    if similarity is not None:
+        links = _similar(written(links.distinct(), "links"), nodes, slim, words, similarity)
     member = components(links)
     root = nodes.join(member, nodes["print"] == member["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))

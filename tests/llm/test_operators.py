@@ -249,19 +249,20 @@ def test_kneser_ney(spark, docs, none):
     assert np.allclose(model, 1, atol=1e-3)  # a distribution after every context
 
 
-def test_golay_keys_meet():
+@pytest.mark.parametrize("bits", [3, 5])
+def test_golay_keys_meet(bits):
     rng = np.random.default_rng(3)
-    a = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    a = rng.integers(0, 2**64, 4000, dtype=np.uint64)
     b = a.copy()
     for i in range(len(b)):
-        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+        for bit in rng.choice(64, rng.integers(0, bits + 1), replace=False):
             b[i] ^= np.uint64(1) << np.uint64(bit)
-    key, filed, index = simhash.keys_of(a)
+    key, filed, index = simhash.keys_of(a, bits > 3)
     home = defaultdict(set)
     for k, f, i in zip(key, filed, index, strict=True):
         if f:
             home[i].add(k)
-    key, _, index = simhash.keys_of(b)
+    key, _, index = simhash.keys_of(b, bits > 3)
     looked = defaultdict(set)
     for k, i in zip(key, index, strict=True):
         looked[i].add(k)
@@ -285,6 +286,25 @@ def test_simhash(spark, none):
     assert simhash.simhash(none).count() == 0
 
 
+def test_simhash_with_similarity(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.choice(500, 200).astype(str).tolist() for _ in range(12)]
+    rows = []
+    for i in range(48):
+        words = list(base[i % 12])
+        for at in rng.choice(200, i // 12 * 2, replace=False):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    found = by_id(simhash.simhash(table(spark, [*rows, (None, rows[0][1])]), max_bits=5, similarity=0.8))
+    sets = {i: set(simhash.shingles(t.encode(), 5).tolist()) for i, t in rows}
+    prints = {i: int(found[i].fingerprint, 16) for i in sets}
+    least = {i: i for i in sets}
+    for _ in range(len(sets)):
+        least = {i: min(least[j] for j in sets if (prints[i] ^ prints[j]).bit_count() <= 5 and (prints[i] == prints[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))) for i in sets}
+    assert {i: found[i].component_id for i in sets} == least
+    assert len(set(least.values())) < 40
+
+
 def test_forest_links_all():
     rng = np.random.default_rng(6)
     x = np.unique(rng.integers(0, 2**12, 300)).astype(np.int64)
