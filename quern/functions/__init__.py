@@ -67,7 +67,7 @@ def months_between_whole(start: Column, end: Column) -> Column:
 
 def ip_to_number(text: Column) -> Column:
     """The number of a dotted IPv4 address (INET_ATON)."""
-    part = [F.try_element_at(F.split(text, r"\."), F.lit(i)).cast("long") for i in range(1, 5)]
+    part = [F.try_element_at(F.split(text, r"\."), F.lit(i)).try_cast("long") for i in range(1, 5)]
     return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
 
 
@@ -84,3 +84,74 @@ def json_number(text: Column, path: str) -> Column:
 def safe_divide(a: Column, b: Column) -> Column:
     """a / b, null for division by zero, as in MariaDB."""
     return F.when(b != 0, a / b)
+
+
+#: What each letter of a MariaDB date format means as a Spark date pattern.
+DATE_LETTERS = {"Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "i": "mm", "s": "ss", "S": "ss", "f": "SSSSSS", "j": "DDD", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "EEE", "p": "a", "T": "HH:mm:ss"}
+
+
+def date_pattern(text: str) -> str:
+    """A MariaDB date format such as %Y-%m-%d as a Spark pattern; other letters are quoted."""
+    out, plain, at = [], "", 0
+
+    def quoted() -> str:
+        return "'" + plain.replace("'", "''") + "'" if plain else ""
+
+    while at < len(text):
+        if text[at] == "%" and at + 1 < len(text):
+            letter = text[at + 1]
+            if letter in DATE_LETTERS:
+                out += [quoted(), DATE_LETTERS[letter]]
+                plain = ""
+            else:
+                plain += letter
+            at += 2
+        else:
+            plain += text[at]
+            at += 1
+    return "".join([*out, quoted()])
+
+
+def date_format(ts: Column, text: str) -> Column:
+    """DATE_FORMAT with a MariaDB format."""
+    return F.date_format(ts, date_pattern(text))
+
+
+def str_to_date(text: Column, form: str) -> Column:
+    """STR_TO_DATE with a MariaDB format; null for what doesn't fit."""
+    return F.try_to_timestamp(text, F.lit(date_pattern(form))).cast("timestamp_ntz")
+
+
+def seconds_to_time(n: Column) -> Column:
+    """hh:mm:ss of a number of seconds, with a sign if negative (SEC_TO_TIME)."""
+    a = F.abs(n.cast("long"))
+    text = F.format_string("%02d:%02d:%02d", F.floor(a / 3600), F.floor(a / 60) % 60, a % 60)
+    return F.when(n < 0, F.concat(F.lit("-"), text)).when(n >= 0, text)
+
+
+def time_to_seconds(text: Column) -> Column:
+    """Seconds of hh:mm:ss (TIME_TO_SEC)."""
+    part = [F.try_element_at(F.split(text, ":"), F.lit(i)).try_cast("long") for i in (1, 2, 3)]
+    return part[0] * 3600 + part[1] * 60 + part[2]
+
+
+def json_keys(text: Column) -> Column:
+    """The keys of a JSON object (JSON_KEYS, JSONB_OBJECT_KEYS)."""
+    return F.json_object_keys(text)
+
+
+def json_put(text: Column, key: str, value: Column) -> Column:
+    """A JSON object of scalars with one key set, keys in order (JSON_SET, JSONB_SET at the top level)."""
+    kept = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: k != key)
+    both = F.map_concat(kept, F.create_map(F.lit(key), value.cast("string")))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both))))
+
+
+def array_to_text(values: Column, separator: str, null: str | None = None) -> Column:
+    """ARRAY_TO_STRING: nulls left out, or as a given text."""
+    return F.array_join(values, separator, null) if null is not None else F.array_join(values, separator)
+
+
+def width_bucket(x: Column, low: float, high: float, n: int) -> Column:
+    """The bucket of n equal ones between low and high, 0 below and n + 1 from high on."""
+    return F.when(x < low, 0).when(x >= high, n + 1).otherwise(F.floor((x - low) * n / (high - low)) + 1).cast("int")

@@ -43,6 +43,14 @@ def test_functions(spark):
     assert tuple(row) == ("O'Neil Mc-Donald", -2.7, 0, "192.168.1.1", None, 1)
 
 
+def test_dialect_functions(spark):
+    assert Q.date_pattern("%Y-day %j, %%it's") == "yyyy'-day 'DDD', %it''s'"
+    df = frame(spark, [("2024-02-30", "01:02:03", -3725, '{"b":"1"}'), (None, "x", None, None)], "d string, t string, n int, j string")
+    row, blank = df.select(Q.str_to_date(F.col("d"), "%Y-%m-%d"), Q.time_to_seconds(F.col("t")), Q.seconds_to_time(F.col("n")), Q.json_put(F.col("j"), "a", F.lit(2)), Q.width_bucket(F.lit(5.0), 0, 5, 5)).collect()
+    assert tuple(row) == (None, 3723, "-01:02:05", '{"a":"2","b":"1"}', 6)
+    assert tuple(blank)[:4] == (None,) * 4
+
+
 def test_copy(spark, tmp_path):
     df = frame(spark, [(1, 'a "quoted", text'), (2, None), (3, "x;y")], "k int, v string")
     copy_to(df, str(tmp_path / "out"), delimiter=";", null="\\N")
