@@ -21,8 +21,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_paths: list[str] = []
+_tables: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}-{name}"
+    _paths.append(f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}-{name}")
+    return _paths[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this driver has written so far; results that are not yet computed from
+    them can no longer be."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -58,5 +73,6 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
     n = partitions(spark)
     grouped = texts.groupBy("tid").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     name = f"quern_{uuid.uuid4().hex}"
+    _tables.append(name)
     grouped.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(n, "tid").saveAsTable(name)
     return spark.table(name)

@@ -10,7 +10,8 @@ Edge cases: a null or empty text has no words. Words are runs of characters othe
 white-space characters. Earlier means a smaller doc_id, or the same one and an earlier start; rows
 without doc_id come last. Rows that repeat a doc_id and its text count as one document and get the
 same result. Texts of any length are cut into overlapping pieces. An empty table gives an empty
-result. Other columns are ignored.
+result. Other columns are ignored. Of two rows with one doc_id and different texts either may count as
+the earlier, for windows at equal starts.
 """
 
 from __future__ import annotations

@@ -399,6 +399,17 @@ def test_mixing(spark, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_clean_deletes_what_was_written(spark, docs):
+    base = store.distinct_texts(store.texts_of(docs))
+    path = store.new_path(spark, "x")
+    docs.write.parquet(path)
+    assert base.count() == len({t or "" for _, t in TEXTS})
+    store.clean(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quern_")]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_no_python_in_mixing(docs):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
