@@ -40,8 +40,8 @@ def fn_array_edit(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.array_position(F.array(one, F.lit(7), F.lit(9)), F.lit(7)).cast("int").alias("pos"), F.concat(F.array(one), F.array(F.lit(1), F.lit(2))).alias("joined"), F.array_append(F.array(F.lit(1)), one).alias("appended"), F.array_remove(F.array(F.lit(1), one, F.lit(1)), F.lit(1)).alias("removed"), F.arrays_overlap(F.array(one), F.array(F.lit(1), F.lit(2))).alias("shares"), F.reverse(F.array(one, F.lit(10))).alias("rev"), Q.array_to_text(F.array(F.lit("a"), F.lit(None).cast("string"), F.lit("b")), "-").alias("txt"), F.split(F.lit("a,b,c"), ",").alias("parts"))
 
 
-@query("""WITH some AS (SELECT p_brand, p_size % 3 AS p_size FROM part), counts AS (SELECT p_brand, p_size, count(*) AS n FROM some GROUP BY ALL)
-SELECT p_brand, (SELECT arg_max(c.p_size, c.n * 10 - c.p_size) FROM counts c WHERE c.p_brand = s.p_brand) AS common, quantile_disc(p_size, 0.25) AS q1, quantile_disc(p_size, 0.75) AS q3 FROM some s GROUP BY p_brand""")
+@query("""WITH small AS (SELECT p_brand, p_size % 3 AS p_size FROM part), counts AS (SELECT p_brand, p_size, count(*) AS n FROM small GROUP BY ALL)
+SELECT p_brand, (SELECT arg_max(c.p_size, c.n * 10 - c.p_size) FROM counts c WHERE c.p_brand = s.p_brand) AS common, quantile_disc(p_size, 0.25) AS q1, quantile_disc(p_size, 0.75) AS q3 FROM small s GROUP BY p_brand""")
 def agg_ordered_set(t: Tables) -> DataFrame:
     """PERCENTILE_DISC and MODE; of equally frequent values the least, which needs counts by value."""
     some = t.part.select("p_brand", (F.col("p_size") % 3).alias("p_size"))
