@@ -1,9 +1,10 @@
 """The ten operators against brute force on small tables, edge cases included."""
 
 import hashlib
+import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -245,8 +246,73 @@ def test_kneser_ney(spark, docs, none):
     assert sum(found[i].kept for i in range(200, 250)) == 0
     assert not found[300].kept and found[None].kept
     assert kneser_ney.classify(none, spark.range(0).withColumnRenamed("id", "doc_id")).count() == 0
-    model = np.exp(kneser_ney.train(df).reshape(-1, 32).astype(float)).sum(axis=1)
-    assert np.allclose(model, 1, atol=1e-3)  # a distribution after every context
+    assert set(found) == {*range(250), 300, None}
+
+
+def brute_kneser_ney(trusted, texts):
+    """Perplexities by dictionaries of words, straight from the definition."""
+
+    def split(text):
+        words = [w.lower() for w in (text or "").encode().split()]
+        return [None, *words, None] if words else []
+
+    pairs = Counter(p for t in trusted for w in [split(t)] for p in zip(w, w[1:], strict=False))
+    before = Counter(b for _, b in pairs)
+    total, kinds = Counter(), defaultdict(list)
+    for (a, _), n in pairs.items():
+        total[a] += n
+        kinds[a].append(n)
+
+    def discounts(counts):
+        n = Counter(counts)
+        ratio = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = {k: min(k, max(0.1, k - (k + 1) * ratio * n[k + 1] / n[k])) if n[k] else 0.5 for k in (1, 2, 3)}
+        return lambda x: min(d[min(x, 3)], min(x, 3) - 0.05)
+
+    high, low = discounts(pairs.values()), discounts(before.values())
+    types = sum(before.values())
+    unseen = sum(map(low, before.values())) / types / (len(before) + 1)
+
+    def p(a, b):
+        below = (before[b] - low(before[b])) / types + unseen if b in before else unseen
+        if a not in total:
+            return below
+        own = max(0, pairs[a, b] - high(pairs[a, b])) / total[a] if (a, b) in pairs else 0
+        return own + sum(map(high, kinds[a])) / total[a] * below
+
+    assert abs(sum(p(None, b) for b in before) + p(None, "never seen") - 1) < 1e-9  # a distribution
+    out = []
+    for t in texts:
+        w = split(t)
+        logs = [math.log(p(a, b)) for a, b in zip(w, w[1:], strict=False)]
+        out.append(math.exp(-sum(logs) / len(logs)) if logs else None)
+    return out
+
+
+def test_kneser_ney_brute(spark, docs, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK", 300)  # many blocks
+    rng = np.random.default_rng(8)
+    trusted = [" ".join(rng.choice(60, 50 + i % 7).astype(str)) for i in range(30)] + [t for _, t in TEXTS[:9]]
+    texts = [t for _, t in TEXTS] + [" ".join(rng.choice(90, 40).astype(str)) for _ in range(30)] + trusted
+    model, unseen = kneser_ney.train(spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3))
+    rows = spark.createDataFrame([(i, None, t or "") for i, t in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    found = {r.doc_id: r.perplexity for r in kneser_ney.score(rows, model, unseen).collect()}
+    assert len(found) == len(texts)
+    for i, want in enumerate(brute_kneser_ney(trusted, texts)):
+        assert found[i] is None if want is None else math.isclose(found[i], want, rel_tol=1e-4)
+
+
+def test_kneser_ney_model_grows(spark):
+    rng = np.random.default_rng(9)
+    texts = [(" ".join(rng.choice(5000, 300).astype(str)),) for _ in range(80)]
+    small, large = (kneser_ney.train(spark.createDataFrame(texts[:n], "text string"))[0].count() for n in (20, 80))
+    assert large > 3 * small
+
+
+def test_packed_counts():
+    key = np.array([2, 5, 5, 1 << 61], np.int64)
+    back = kneser_ney.unpack(kneser_ney.pack(key, np.arange(4), np.array([1, 300, 7, 1 << 30])))
+    assert [x.tolist() for x in back] == [key.tolist(), [0, 1, 2, 3], [1, 300, 7, 1 << 30]]
 
 
 @pytest.mark.parametrize("bits", [3, 5])
