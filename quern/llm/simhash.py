@@ -8,15 +8,17 @@ indices and looked up under 1 to 36 pairs, and fingerprints within 3 bits always
 that differ in two bits still share a codeword within 4 bits of both, the one nearest to the segment
 halfway; so if a fingerprint is filed under all pairs that have a nearest codeword, those within 5 bits
 meet as well. Those that meet are verified on all 64 bits, and on request by the Jaccard similarity of
-their texts' shingles.
+their texts' shingles. For that each text also carries a fingerprint of the set of these shingles, its
+check: sets that have 0.8 in common differ in about 10 of its bits, others in about 32. Pairs whose checks
+differ in more than CHECK_BITS go no further, which loses a similar pair about once in a million.
 
-Equal fingerprints are one node. A bucket gives a spanning forest of its links, never all pairs, and
-components come from rounds of joins (components.components).
+Equal fingerprints are one node; where similarity is asked for, checks must be equal too. A large bucket
+gives a spanning forest of its links, the most similar first, never all pairs, and components come from
+rounds of joins (components.components).
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
-text of fewer words than a shingle has one shingle, the whole. Texts of equal fingerprints are linked
-without a look at their similarity; where that is asked for, the text of the smallest doc_id stands for
-a fingerprint, and one without any doc_id is linked to no other. component_id is the smallest doc_id
+text of fewer words than a shingle has one shingle, the whole. Where similarity is asked for, the text
+of the smallest doc_id stands for a node, and one without any doc_id is linked to no other. component_id is the smallest doc_id
 reachable; null only if no row of the component has one. Repeated rows count as equal fingerprints.
 An empty table gives an empty result. Other columns are ignored.
 """
@@ -47,6 +49,12 @@ SEED = 42
 GOLAY = 0b101011100011
 #: Buckets of more entries are linked by search instead of by all pairs.
 SMALL = 16
+#: In buckets of up to so many entries those without a link are set aside before the search.
+MEDIUM = 512
+#: Where similarity is asked for, the most bits that the checks of two texts may differ in.
+CHECK_BITS = 24
+#: Differing bits of checks up to which the links of a large bucket are sought, one after another.
+LEVELS = (6, 12, 18, CHECK_BITS)
 
 
 def fingerprint(data: bytes, size: int = SHINGLE) -> int:
@@ -59,17 +67,24 @@ def fingerprint(data: bytes, size: int = SHINGLE) -> int:
     last = max(1, len(words) - size + 1)
     first, to = begins[:last].tolist(), ends[min(size, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(text[a:b], SEED) for a, b in zip(first, to, strict=True)), np.uint64, last)
+    return majority(np.fromiter((digest(text[a:b], SEED) for a, b in zip(first, to, strict=True)), np.uint64, last))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of h."""
     count = np.zeros(64, np.int64)
-    for at in range(0, last, 4096):
+    for at in range(0, len(h), 4096):
         count += np.unpackbits(h[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * count > last, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, distinct: bool, words: int | None) -> Iterator[pa.RecordBatch]:
+    """words: the size of the shingles whose set gives the check; without it there is none."""
     for batch in batches:
-        prints = np.array([fingerprint(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(prints.view(np.int64))], ["doc", "print"])
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        made = [[majority(shingles(t, size)) if distinct else fingerprint(t, size) for t in texts]]
+        made += [[majority(shingles(t, words)) for t in texts]] if words else []
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in made)], ["doc", "print", "check"][: 1 + len(made)])
 
 
 @lru_cache(maxsize=1)
@@ -130,48 +145,77 @@ def keys_of(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndar
 
 
 def _places(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each place of a fingerprint, which all columns of the fingerprint go along with."""
     for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         prints = batch.column("print").to_numpy(zero_copy_only=False)
         for at in range(0, len(prints), 2048):
-            part = prints[at : at + 2048]
-            key, filed, index = keys_of(part.view(np.uint64), wide)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(filed), pa.array(part[index])], ["key", "filed", "print"])
+            key, filed, index = keys_of(prints[at : at + 2048].view(np.uint64), wide)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(filed), *(pa.array(c[at + index]) for c in columns)], ["key", "filed", *batch.schema.names])
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def forest(prints: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these fingerprints."""
-    left = np.unique(prints)
+def _search(prints: np.ndarray, check: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of indices, of the links of at most max_bits, and `most` of the checks."""
+    left = np.arange(len(prints))
+    if len(left) <= MEDIUM:
+        near = (_bits(prints[:, None] ^ prints) <= max_bits) & (_bits(check[:, None] ^ check) <= most)
+        left = left[near.sum(axis=1) > 1]
     links: list[tuple[int, int]] = []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
-            x = queue.pop()
-            near = _bits(left ^ x) <= max_bits
+            i = queue.pop()
+            near = (_bits(prints[left] ^ prints[i]) <= max_bits) & (_bits(check[left] ^ check[i]) <= most)
             found = left[near]
-            links += [(int(x), int(y)) for y in found]
+            links += [(int(i), j) for j in found.tolist()]
             queue += list(found)
             left = left[~near]
     return links
 
 
-def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, max_bits: int) -> pa.RecordBatch:
+def forest(prints: np.ndarray, max_bits: int, node: np.ndarray | None = None, check: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among these nodes; with checks, links of close checks first."""
+    node, first = np.unique(prints if node is None else node, return_index=True)
+    prints = prints[first]
+    if check is None:
+        return [(int(node[i]), int(node[j])) for i, j in _search(prints, prints, max_bits, max_bits)]
+    above = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    links = []
+    for most in LEVELS:
+        for i, j in _search(prints, check[first], max_bits, most):
+            a, b = top(i), top(j)
+            if a != b:
+                above[a] = b
+                links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, check: np.ndarray | None = None, node: np.ndarray | None = None, *, max_bits: int) -> pa.RecordBatch:
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
     some = np.add.reduceat(filed.astype(np.int64), begin)
     links: list[tuple[int, int]] = []
     for b, n in zip(begin[(size > SMALL) & (some > 0)].tolist(), size[(size > SMALL) & (some > 0)].tolist(), strict=True):
-        links += forest(prints[b : b + n], max_bits)
+        links += forest(prints[b : b + n], max_bits, *(None if x is None else x[b : b + n] for x in (node, check)))
     group = np.repeat(np.arange(len(begin)), size)
     rows = np.flatnonzero(filed & (size[group] > 1) & (size[group] <= SMALL))
     n = size[group[rows]]
     left = np.repeat(rows, n)
     right = np.repeat(begin[group[rows]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    x, y = prints[left], prints[right]
-    near = (x != y) & (_bits(x ^ y) <= max_bits)
+    x, y = (prints if node is None else node)[left], (prints if node is None else node)[right]
+    near = (x != y) & (_bits(prints[left] ^ prints[right]) <= max_bits)
+    if check is not None:
+        near &= _bits(check[left] ^ check[right]) <= CHECK_BITS
     pairs = np.concatenate([np.stack([x[near], y[near]], axis=1), np.array(links, np.int64).reshape(-1, 2)])
     pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1), axis=0) if len(pairs) else pairs
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -180,21 +224,21 @@ def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, max_bits: int)
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
-        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "filed", "print"))
+        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names)
         if not len(now[0]):
             continue
         cut = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on
         if cut:
             whole = [np.concatenate(x) for x in zip(*held, tuple(x[:cut] for x in now), strict=True)]
-            yield _met(*whole, max_bits)
+            yield _met(*whole, max_bits=max_bits)
             held = [tuple(x[cut:] for x in now)]
         elif held and held[-1][0][-1] != now[0][0]:
-            yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits)
+            yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits=max_bits)
             held = [now]
         else:
             held.append(now)
     if held:
-        yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits)
+        yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits=max_bits)
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -206,37 +250,42 @@ def shingles(data: bytes, size: int) -> np.ndarray:
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shingles(t, size).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(found, pa.list_(pa.int64()))], ["print", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _similar(links: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of links (a, b) whose texts are similar. nodes: print, least; texts: doc, text."""
-    ends = links.select(F.col("a").alias("end")).unionByName(links.select(F.col("b").alias("end"))).distinct()
-    needed = nodes.join(ends, F.col("print") == F.col("end"), "left_semi")
-    own = texts.join(needed, F.col("doc") == F.col("least")).select("print", "text").dropDuplicates(["print"])
-    sets = written(own.mapInArrow(partial(_shingled, size=words), "print long, shingles array<bigint>"), "shingles")
-    one, two = sets.select(F.col("print").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("print").alias("b"), F.col("shingles").alias("y"))
+def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of links (a, b) of doc_ids whose texts are similar. texts: doc, text."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    own = texts.select(F.col("doc").alias("node"), "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, shingles array<bigint>"), "shingles")
+    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = links.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
-def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, words: int = 5, similarity: float | None = None) -> DataFrame:
+def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, words: int = 5, similarity: float | None = None, distinct: bool = False) -> DataFrame:
     """Per row of docs: doc_id, fingerprint, component_id.
 
-    Fingerprints of `shingle`-word shingles link at max_bits or fewer differing bits; with similarity,
-    only if also that share of the `words`-word shingles of both texts is common.
+    Fingerprints of `shingle`-word shingles, of the different ones if distinct, link at max_bits or fewer
+    differing bits; with similarity, only if also that share of the `words`-word shingles of both texts is
+    common.
     """
     if not 0 <= max_bits <= WIDE_BITS:
         raise ValueError(f"the keys find fingerprints of at most {WIDE_BITS} differing bits")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = written(slim.mapInArrow(partial(_fingerprints, size=shingle), "doc long, print long"), "prints")
-    nodes = written(rows.groupBy("print").agg(F.min("doc").alias("least")), "nodes")
-    places = nodes.select("print").mapInArrow(partial(_places, wide=max_bits > MAX_BITS), "key int, filed boolean, print long")
+    same = ["print"] if similarity is None else ["print", "check"]
+    kinds = ", ".join(f"{c} long" for c in same)
+    made = partial(_fingerprints, size=shingle, distinct=distinct, words=None if similarity is None else words)
+    rows = written(slim.mapInArrow(made, f"doc long, {kinds}"), "prints")
+    nodes = written(rows.groupBy(*same).agg(F.min("doc").alias("least")), "nodes")
+    nodes = nodes.withColumn("node", F.col("print" if similarity is None else "least"))
+    filed = nodes.select(*same) if similarity is None else nodes.filter("node is not null").select(*same, "node")
+    places = filed.mapInArrow(partial(_places, wide=max_bits > MAX_BITS), f"key int, filed boolean, {kinds}{'' if similarity is None else ', node long'}")
     links = places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long")
     if similarity is not None:
-        links = _similar(written(links.distinct(), "links"), nodes, slim, words, similarity)
-    member = components(links)
-    root = nodes.join(member, nodes["print"] == member["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
+        links = _similar(written(links.distinct(), "links"), slim, words, similarity)
+    member = components(links).withColumnRenamed("node", "of")
+    root = nodes.join(member, nodes["node"] == member["of"], "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = root.join(least, "root").select("print", "component_id")
-    return rows.join(labels, "print").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = root.join(least, root["root"].eqNullSafe(least["root"])).select(*same, "component_id")
+    return rows.join(labels, same).select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")

@@ -352,7 +352,8 @@ def test_simhash(spark, none):
     assert simhash.simhash(none).count() == 0
 
 
-def test_simhash_with_similarity(spark):
+@pytest.mark.parametrize("shingle", [1, 3])
+def test_simhash_with_similarity(spark, shingle):
     rng = np.random.default_rng(8)
     base = [rng.choice(500, 200).astype(str).tolist() for _ in range(12)]
     rows = []
@@ -361,14 +362,24 @@ def test_simhash_with_similarity(spark):
         for at in rng.choice(200, i // 12 * 2, replace=False):
             words[at] = f"new{i}x{at}"
         rows.append((i, " ".join(words)))
-    found = by_id(simhash.simhash(table(spark, [*rows, (None, rows[0][1])]), max_bits=5, similarity=0.8))
+    swapped = rows[0][1].split()
+    rows += [(100, " ".join(swapped[100:] + swapped[:100])), (101, " ".join(sorted(swapped)))]  # the same words
+    found = by_id(simhash.simhash(table(spark, [*rows, (None, rows[0][1])]), shingle=shingle, max_bits=5, similarity=0.8, distinct=shingle == 1))
     sets = {i: set(simhash.shingles(t.encode(), 5).tolist()) for i, t in rows}
     prints = {i: int(found[i].fingerprint, 16) for i in sets}
     least = {i: i for i in sets}
     for _ in range(len(sets)):
-        least = {i: min(least[j] for j in sets if (prints[i] ^ prints[j]).bit_count() <= 5 and (prints[i] == prints[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))) for i in sets}
+        least = {i: min(least[j] for j in sets if (prints[i] ^ prints[j]).bit_count() <= 5 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in sets}
     assert {i: found[i].component_id for i in sets} == least
-    assert len(set(least.values())) < 40
+    assert len(set(least.values())) < 42 and least[100] == (0 if shingle == 1 else least[100]) and least[101] == 101
+
+
+def test_forest_prefers_close_checks():
+    prints, node = np.zeros(40, np.int64), np.arange(40)
+    check = np.where(node % 2, 2**20 - 1, 0)  # two groups that differ in 20 bits
+    links = simhash.forest(prints, 5, node, check)
+    assert len(links) == 39 and sum((a - b) % 2 for a, b in links) == 1
+    assert len(simhash.forest(prints, 5, node, np.where(node % 2, 2**30 - 1, 0))) == 38
 
 
 def test_forest_links_all():
