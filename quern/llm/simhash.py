@@ -10,7 +10,7 @@ halfway; so if a fingerprint is filed under all pairs that have a nearest codewo
 meet as well. Those that meet are verified on all 64 bits, and on request by the Jaccard similarity of
 their texts' shingles. For that each text also carries a fingerprint of the set of these shingles, its
 check: sets that have 0.8 in common differ in about 10 of its bits, others in about 32. Pairs whose checks
-differ in more than CHECK_BITS go no further, which loses a similar pair about once in a million.
+differ in more than CHECK_BITS go no further, which by estimate loses a similar pair about once in a million.
 
 Equal fingerprints are one node; where similarity is asked for, checks must be equal too. A large bucket
 gives a spanning forest of its links, the most similar first, never all pairs, and components come from
