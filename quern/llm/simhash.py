@@ -13,8 +13,11 @@ check: sets that have 0.8 in common differ in about 10 of its bits, others in ab
 differ in more than CHECK_BITS go no further, which by estimate loses a similar pair about once in a million.
 
 Equal fingerprints are one node; where similarity is asked for, checks must be equal too. A large bucket
-gives a spanning forest of its links, the most similar first, never all pairs, and components come from
-rounds of joins (components.components).
+gives a spanning forest of its links, the most similar first, and components come from rounds of joins
+(components.components). A link may turn out not to be similar. Then its bucket goes on in rounds: nodes
+are joined by verified links alone, and each that is not in the largest group asks for its closest pairs
+with other groups that were not compared yet, in each round up to four times as many, until none is left. So components are those
+of all similar pairs, whatever the size of a bucket.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
 text of fewer words than a shingle has one shingle, the whole. Where similarity is asked for, the text
@@ -25,7 +28,7 @@ An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 from itertools import combinations
 
@@ -55,6 +58,8 @@ MEDIUM = 512
 CHECK_BITS = 24
 #: Differing bits of checks up to which the links of a large bucket are sought, one after another.
 LEVELS = (6, 12, 18, CHECK_BITS)
+#: Pairs that a node of a large bucket asks for in the first round after the forest.
+ASKED = 4
 
 
 def fingerprint(data: bytes, size: int = SHINGLE) -> int:
@@ -205,8 +210,11 @@ def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, check: np.ndarr
     size = np.diff(np.append(begin, len(key)))
     some = np.add.reduceat(filed.astype(np.int64), begin)
     links: list[tuple[int, int]] = []
+    keys: list[int] = []
     for b, n in zip(begin[(size > SMALL) & (some > 0)].tolist(), size[(size > SMALL) & (some > 0)].tolist(), strict=True):
-        links += forest(prints[b : b + n], max_bits, *(None if x is None else x[b : b + n] for x in (node, check)))
+        found = forest(prints[b : b + n], max_bits, *(None if x is None else x[b : b + n] for x in (node, check)))
+        links += found
+        keys += [int(key[b])] * len(found)
     group = np.repeat(np.arange(len(begin)), size)
     rows = np.flatnonzero(filed & (size[group] > 1) & (size[group] <= SMALL))
     n = size[group[rows]]
@@ -217,11 +225,13 @@ def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, check: np.ndarr
     if check is not None:
         near &= _bits(check[left] ^ check[right]) <= CHECK_BITS
     pairs = np.concatenate([np.stack([x[near], y[near]], axis=1), np.array(links, np.int64).reshape(-1, 2)])
-    pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1), axis=0) if len(pairs) else pairs
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    of = np.append(np.full(near.sum(), -1), np.array(keys, np.int64)) if check is not None else np.full(len(pairs), -1)
+    pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1), of], axis=1), axis=0) if len(pairs) else np.empty((0, 3), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "key"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """a, b and, with checks, the key of a large bucket that gave the link; -1 for others."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names)
@@ -241,6 +251,43 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits=max_bits)
 
 
+def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
+    """Pairs of one large bucket that are to be compared next. A row is a node, or a pair (b not null)
+    that was compared."""
+    key, a, b, ok, prints, check = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "check"))
+    pair = b.is_valid().to_numpy(zero_copy_only=False)
+    a = a.to_numpy()
+    node, first = np.unique(a[~pair], return_index=True)
+    prints, check = (x.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first] for x in (prints, check))
+    x, y = np.searchsorted(node, a[pair]), np.searchsorted(node, b.filter(pa.array(pair)).to_numpy(zero_copy_only=False))
+    good = ok.filter(pa.array(pair)).to_numpy(zero_copy_only=False).astype(bool)
+    above = list(range(len(node)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
+        above[top(i)] = top(j)
+    group = np.array([top(i) for i in range(len(node))])
+    ends, others = np.concatenate([x[~good], y[~good]]), np.concatenate([y[~good], x[~good]])
+    order = np.argsort(ends, kind="stable")
+    ends, others = ends[order], others[order]
+    cut = np.searchsorted(ends, np.arange(len(node) + 1))
+    found = []
+    for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
+        far = _bits(check ^ check[i])
+        near = (_bits(prints ^ prints[i]) <= max_bits) & (far <= CHECK_BITS) & (group != group[i])
+        near[others[cut[i] : cut[i + 1]]] = False
+        at = np.flatnonzero(near)
+        if len(at) > most:
+            at = at[np.argsort(far[at], kind="stable")[:most]]
+        found.append(np.stack([np.maximum(node[at], node[i]), np.minimum(node[at], node[i])], axis=1))
+    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": np.full(len(pairs), key[0].as_py(), np.int32)})
+
+
 def shingles(data: bytes, size: int) -> np.ndarray:
     """The different runs of `size` lower-cased words, as identifiers."""
     ids = word_ids(data.lower())
@@ -263,6 +310,37 @@ def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    def ask(table: pa.Table) -> pa.Table:
+        return _asked(table, max_bits, most)
+
+    return ask
+
+
+def _all_similar(places: DataFrame, links: DataFrame, texts: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
+    """Links (a, b) of similar texts whose components are those of all similar pairs that meet. places:
+    rows of _places; links: of _links."""
+    nodes = places.select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "check")
+    asked, most, rounds = written(links.distinct(), "links"), ASKED, []
+    similar = None
+    while True:
+        good = written(_similar(asked.select("a", "b").distinct(), texts, words, similarity), "similar")
+        similar = good if similar is None else similar.unionByName(good)
+        large = asked.filter("key >= 0")
+        rounds.append(written(large.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "compared"))
+        # a forest whose links all hold leaves nothing open; later rounds end with a bucket that asks for nothing
+        going = (rounds[0].filter("not ok") if len(rounds) == 1 else large).select("key").distinct()
+        if going.isEmpty():
+            return similar.distinct()
+        compared = rounds[0]
+        for more in rounds[1:]:
+            compared = compared.unionByName(more)
+        compared = compared.select("key", "a", "b", "ok", *(F.lit(None).cast("long").alias(c) for c in ("print", "check")))
+        rows = nodes.unionByName(compared).join(going, "key", "left_semi")
+        asked = written(rows.groupBy("key").applyInArrow(_asking(max_bits, most), "a long, b long, key int"), "asked")
+        most *= 4
+
+
 def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, words: int = 5, similarity: float | None = None, distinct: bool = False) -> DataFrame:
     """Per row of docs: doc_id, fingerprint, component_id.
 
@@ -281,9 +359,9 @@ def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, w
     nodes = nodes.withColumn("node", F.col("print" if similarity is None else "least"))
     filed = nodes.select(*same) if similarity is None else nodes.filter("node is not null").select(*same, "node")
     places = filed.mapInArrow(partial(_places, wide=max_bits > MAX_BITS), f"key int, filed boolean, {kinds}{'' if similarity is None else ', node long'}")
-    links = places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long")
+    links = places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long, key int")
     if similarity is not None:
-        links = _similar(written(links.distinct(), "links"), slim, words, similarity)
+        links = _all_similar(places, links, slim, words, similarity, max_bits)
     member = components(links).withColumnRenamed("node", "of")
     root = nodes.join(member, nodes["node"] == member["of"], "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))

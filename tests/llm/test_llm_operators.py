@@ -374,6 +374,25 @@ def test_simhash_with_similarity(spark, shingle):
     assert len(set(least.values())) < 42 and least[100] == (0 if shingle == 1 else least[100]) and least[101] == 101
 
 
+def test_simhash_compares_all_of_a_large_bucket(spark):
+    rng = np.random.default_rng(3)
+    base = [f"word{i}" for i in range(600)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in rng.choice(600, rng.integers(4, 16), replace=False):
+            words[at] = f"new{i}x{at}"
+        rows.append((i, " ".join(words)))
+    found = by_id(simhash.simhash(table(spark, rows), shingle=1, max_bits=5, similarity=0.8, distinct=True))
+    sets = {i: set(simhash.shingles(t.encode(), 5).tolist()) for i, t in rows}
+    prints = {i: int(found[i].fingerprint, 16) for i in sets}
+    near = {i: [j for j in sets if (prints[i] ^ prints[j]).bit_count() <= 5 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in sets}
+    least = {i: i for i in sets}
+    for _ in range(20):
+        least = {i: min(least[j] for j in near[i]) for i in sets}
+    assert {i: found[i].component_id for i in sets} == least
+
+
 def test_forest_prefers_close_checks():
     prints, node = np.zeros(40, np.int64), np.arange(40)
     check = np.where(node % 2, 2**20 - 1, 0)  # two groups that differ in 20 bits
