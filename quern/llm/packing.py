@@ -6,6 +6,10 @@ falling length, and each piece goes to the open sequence with the least room tha
 segment tree over the possible amounts of room finds that in logarithmic time. A shard leaves a few
 sequences part filled, out of tens of thousands, and no step depends on the whole corpus.
 
+Documents that come with a place in a mix (slot, place) are packed in its order instead: runs of about
+RUN pieces with neighbouring slots are packed each by itself, and sequences are numbered by run, within
+it by the mean slot of their pieces. So any stretch of sequences has the sources in the shares of the mix.
+
 Edge cases: a null or empty text has the end id alone. Each row is a document of its own: repeated
 rows are packed as often as they come, with equal doc_id and piece. A null doc_id is kept. An empty
 table gives an empty result. Other columns are ignored.
@@ -13,7 +17,8 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -27,9 +32,18 @@ from .tokens import encoder
 
 LENGTH = 2048
 SHARD = 100_000
+#: Pieces that are packed together where sequences follow a mix, about.
+RUN = 4_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PACKED = "sequence_id long, offset long"
+CUT = "doc_id long, source string, pieces array<struct<piece:int,start:long,length:long,ids_crc32:long>>"
+IN_ORDER = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def _cuts(n: int, length: int) -> list[tuple[int, int]]:
+    cuts = [0, *range(n % length or length, n + 1, length)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, space: str | None, end: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -40,8 +54,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, space: str | None, end
         held = 0
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids = np.frombuffer(code.encode(text) + tail, code.kind).astype("<u4")
-            cuts = [0, *range(len(ids) % length or length, len(ids) + 1, length)]
-            for piece, (at, to) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            for piece, (at, to) in enumerate(_cuts(len(ids), length)):
                 rows.append((doc, piece, at, to - at, ids[at:to].tobytes()))
             held += len(ids)
             if held > 1 << 20:
@@ -142,3 +155,45 @@ def pack_documents(docs: DataFrame, path: str, space: str | None = "before", end
     """Per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     slim = pieces(docs, path, space, end, length).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(written(slim, "pieces"), length)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], path: str, space: str | None, end: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Documents with their pieces, without the tokens."""
+    code = encoder(path, space)
+    tail = np.array([end], code.kind).tobytes()
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+    for batch in batches:
+        found = []
+        for text in batch.column("text").to_pylist():
+            ids = np.frombuffer(code.encode(text) + tail, code.kind).astype("<u4")
+            found.append([{"piece": i, "start": at, "length": to - at, "ids_crc32": zlib.crc32(ids[at:to].tobytes())} for i, (at, to) in enumerate(_cuts(len(ids), length))])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(found, kind)], ["doc_id", "source", "pieces"])
+
+
+def cut_documents(docs: DataFrame, path: str, space: str | None, end: int, length: int = LENGTH) -> DataFrame:
+    """Per row of docs: doc_id, source and the array of its pieces: piece, start, length, ids_crc32."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    return slim.mapInArrow(partial(_cut, path=path, space=space, end=end, length=length), CUT)
+
+
+def _packing_run(length: int) -> Callable[[pa.Table], pa.Table]:
+    def packed(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "slot", "place"))])
+        where, offset, opened = best_fit(table.column("length").to_pylist(), Rooms(length), length, 0)
+        mean = np.bincount(where, table.column("slot").to_numpy(), opened) / np.bincount(where, minlength=opened)
+        number = np.empty(opened, np.int64)
+        number[np.argsort(mean, kind="stable")] = np.arange(opened)
+        base = table.column("run")[0].as_py() << 40
+        out = table.drop_columns(["run", "slot", "place"])
+        return out.append_column("sequence_id", pa.array(base + number[where])).append_column("offset", pa.array(offset, pa.int64()))
+
+    return packed
+
+
+def pack_in_order(rows: DataFrame, length: int = LENGTH, run: int | None = None) -> DataFrame:
+    """rows (doc_id, piece, start, length, ids_crc32, slot, place) with sequence_id and offset, without slot
+    and place; sequences follow the slots. It counts rows first, so they should be a written table."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).first()
+    runs = max(1, -(-found["n"] // (run or RUN)))
+    dealt = rows.withColumn("run", F.expr(f"slot * {runs} div {(found['last'] or 0) + 1}"))
+    return dealt.groupBy("run").applyInArrow(_packing_run(length), f"{IN_ORDER}, {PACKED}")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from quern.llm import queries
+from quern.llm import packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,6 +37,28 @@ def test_stages(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted((x.doc_id, x.piece, x.length) for x in packed)
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 150, raising=False)
+    sizes = {"hot": 900, "web": 400, None: 200}
+    rows = [(1000 * k + i, f"{s} text " * (1 + i % 40) * (1 + k)) for k, s in enumerate(sizes) for i in range(sizes[s])]
+    docs = spark.createDataFrame([(i, t, list(sizes)[i // 1000]) for i, t in rows], "doc_id long, text string, source string")
+    packed = corpus_pipeline.packing(spark, docs, SF).orderBy("sequence_id", "offset").collect()
+    assert sorted(x.doc_id for x in packed) == sorted(i for i, _ in rows)
+    ends = {}
+    for x in packed:
+        assert x.offset == ends.get(x.sequence_id, 0)
+        ends[x.sequence_id] = x.offset + x.length
+    assert max(ends.values()) <= 2048
+    weight = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) for s, n in sizes.items()}
+    of = [list(sizes)[x.doc_id // 1000] for x in packed]
+    runs = [x.sequence_id >> 40 for x in packed]
+    ends = [i for i in range(1, 900) if runs[i] != runs[i - 1]]  # a source runs out after 940 documents
+    assert len(ends) >= 4
+    for n in ends:
+        for s, w in weight.items():
+            assert abs(of[:n].count(s) - w * n) < 2 * 16
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
