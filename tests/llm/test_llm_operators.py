@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quern.llm import chat, exact_dedup, huffman, kneser_ney, mixing, packing, quality_rules, simhash, store, substring_dedup, suffix_dedup, token_files, tokens
@@ -249,6 +250,23 @@ def test_kneser_ney(spark, docs, none):
     assert set(found) == {*range(250), 300, None}
 
 
+def test_kneser_ney_has_one_threshold_rule(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "train", lambda trusted: (None, 0.0))
+    monkeypatch.setattr(kneser_ney, "score", lambda docs, model, unseen: docs.select("doc_id", "lang", F.col("text").cast("double").alias("perplexity")))
+
+    def thresholds(**sizes):
+        rows = [(lang, math.exp(5 + k / n)) for lang, n in sizes.items() for k in range(n)]
+        df = spark.createDataFrame([(i, repr(p), lang) for i, (lang, p) in enumerate(rows)], "doc_id long, text string, lang string")
+        found = kneser_ney.classify(df, df.select("doc_id"), held_out=1).collect()
+        assert all(x.kept == (x.perplexity <= x.threshold) for x in found)
+        return {x.lang: x.threshold for x in found}
+
+    few, many = thresholds(en=199), thresholds(en=201)
+    assert abs(few["en"] / many["en"] - 1) < 0.01
+    both = thresholds(en=1000, rare=30)
+    assert abs(both["rare"] / both["en"] - 1) < 0.3
+
+
 def brute_kneser_ney(trusted, texts):
     """Perplexities by dictionaries of words, straight from the definition."""
 
