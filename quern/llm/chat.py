@@ -38,21 +38,47 @@ def turn_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     return slim.withColumn("seq", seq).select("conv", "seq", F.lit("message").alias("kind"), F.col("seq").alias("msg"), "role", "text")
 
 
+def turn_log(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Whole turns as the log of a service that streams, corrects and regenerates answers: the fold of the log
+    gives the turns. By a hash, a turn is streamed in two or three pieces, is a draft that an edit replaces, or
+    is an answer that was followed up and then regenerated, so that answer and follow-up are dropped."""
+    turns = turn_events(rows, conv, turn, role, text)
+    a, b = F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / 2).cast("int")
+    rest = F.lit(2**31 - 1)
+
+    def event(step: int, kind: str, words: Column, msg: Column | None = None, of: Column | None = None) -> Column:
+        return F.struct((F.col("seq") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), (F.col("msg") if msg is None else msg).alias("msg"), (F.lit(None).cast("string") if of is None else of).alias("role"), words.alias("text"))
+
+    def piece(begin: Column | int, size: Column) -> Column:
+        return F.substring("text", F.lit(1) + begin, size)
+
+    own = F.col("role")
+    logs = [
+        F.array(event(0, "message", piece(0, b), of=own), event(1, "delta", piece(b, rest))),
+        F.array(event(0, "message", F.lit(""), of=own), event(1, "delta", piece(0, a)), event(2, "delta", piece(a, a)), event(3, "delta", piece(a + a, rest))),
+        F.array(event(0, "message", F.concat(F.lit("draft of "), F.col("text")), of=own), event(1, "delta", F.lit(" ...")), event(2, "edit", F.col("text"))),
+        F.array(event(0, "message", F.lit("an answer"), of=own), event(1, "message", F.lit("a follow-up"), F.col("msg") + 1, F.lit("user")), event(2, "regenerate", piece(0, b)), event(3, "delta", piece(b, rest))),
+    ]
+    which = F.pmod(F.xxhash64("conv", "seq"), F.lit(len(logs)))
+    chosen = F.coalesce(*(F.when(which == k, log) for k, log in enumerate(logs)))
+    return turns.select("conv", F.explode(chosen).alias("x")).select("conv", "x.*")
+
+
 def fold(events: DataFrame) -> DataFrame:
-    """The final messages of an event log: conv, msg, role, text."""
+    """The final messages of an event log: conv, msg, role, text. One shuffle, by conversation."""
     begins = F.col("kind").isin("message", "edit", "regenerate")
     message = Window.partitionBy("conv", "msg")
     earlier = Window.partitionBy("conv").orderBy("msg").rangeBetween(Window.unboundedPreceding, -1)
     live = (
-        events.withColumn("begun", F.max(F.when(begins, F.col("seq"))).over(message))
+        events.repartition("conv")
+        .withColumn("begun", F.max(F.when(begins, F.col("seq"))).over(message))
+        .withColumn("of", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).over(message))
         .withColumn("dropped", F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(earlier))
         .filter("seq >= coalesce(begun, seq) and seq > coalesce(dropped, seq - 1)")
     )
-    roles = events.filter("role is not null").groupBy("conv", "msg").agg(F.max_by("role", "seq").alias("role"))
     parts = F.array_sort(F.collect_list(F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))))
-    texts = live.groupBy("conv", "msg").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"))
-    same = texts["conv"].eqNullSafe(roles["conv"]) & (texts["msg"] == roles["msg"])
-    return texts.join(roles, same, "left").select(texts["conv"], texts["msg"], F.coalesce("role", F.lit("")).alias("role"), "text")
+    texts = F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    return live.groupBy("conv", "msg").agg(F.coalesce(F.max("of"), F.lit("")).alias("role"), texts.alias("text"))
 
 
 def escape(text: Column) -> Column:

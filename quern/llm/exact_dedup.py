@@ -11,7 +11,9 @@ taken for equal only if their SHA-256 agree too.
 Edge cases: a null text counts as empty. Texts are equal after lower-casing A-Z alone. A row without
 doc_id never stays unless its whole group has none; keep_id is then null. Rows that repeat a doc_id
 and its text are one document: all of them get the same result, and group_size counts each. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns are ignored by exact_dedup. keep_rows keeps them, whatever their
+names, and of a group's rows exactly one: of those with the doc_id that stays the one with the smallest hash
+of its other columns; rows equal in all columns are one.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import partitions
+from .store import partitions, written
 
 FAN = 8
 
@@ -83,8 +85,24 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def exact_dedup(docs: DataFrame, largest: bool = True) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = digests(docs)
+    rows = written(digests(docs), "digests")
     groups = merge_runs(rows.withColumn("n", F.lit(1).cast("long")), largest)
     groups = groups.select(F.col("sha").alias("text_sha256"), F.col("ident").alias("keep_id"), F.col("n").alias("group_size"))
     joined = rows.select(F.col("ident").alias("doc_id"), F.col("sha").alias("text_sha256")).join(groups, "text_sha256")
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_rows(docs: DataFrame, largest: bool = True) -> DataFrame:
+    """The row of each group of equal texts that stays. Rows are known by digests of all their columns, and
+    texts cross one shuffle, merged before it where they are equal in all columns."""
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    text = F.coalesce("text", F.lit(""))
+    own = F.unhex(F.substring(F.sha2(F.concat(F.sha2(text, 256), others), 256), 1, 32))
+    sha = F.sha2(ascii_lower(text), 256)
+    slim = docs.select(F.xxhash64(ascii_lower(text)).alias("digest"), sha.alias("sha"), F.col("doc_id").cast("long").alias("ident"), own.alias("own"))
+    slim = written(slim, "digests")
+    groups = merge_runs(slim.select("digest", "sha", "ident", F.lit(1).cast("long").alias("n")), largest).select("sha", F.col("ident").alias("best"))
+    best = slim.join(groups, "sha").filter(F.col("ident").eqNullSafe(F.col("best"))).groupBy("sha").agg(F.min("own").alias("own")).select("own")
+    rows = docs.select(own.alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    different = rows.groupBy("own").agg(F.first("row").alias("row"))
+    return different.join(best.hint("shuffle_hash"), "own", "left_semi").select("row.*")

@@ -7,14 +7,17 @@ slots of a period to one block; periods repeat, so the slot of every block follo
 slots, and at any slot each source is less than one block from its share. When a source runs out, a
 phase ends and the others go on with their parts in proportion; no document is dropped or repeated.
 
-The table has one row for each source and at most MAX_SOURCES of them, which bounds what is broadcast.
+The table has one row for each of at most MAX_SOURCES - 1 sources, the largest, which bounds what is
+broadcast. Where there are more, the smaller ones share one place in the schedule with the sum of their
+weights; in it they are in pseudo-random order, so each of them has its share there on average only.
 Numbers within a source come from counts by hash range, so a source of a third of all rows is spread
 over as many tasks as its size asks for.
 
-Edge cases: a null source is a source. A source without a weight has one part. Rows with a null
-doc_id, and rows that repeat one, are placed like any others; equal ones are in an arbitrary order. The
-text plays no part. An empty table gives an empty result. Columns may have any names, since rows are
-carried as one value; the added columns are named by the caller.
+Edge cases: a null source is a source. A source without a weight has one part; one of weight 0 comes when
+all others have run out. The pseudo-random order hashes all columns that docs has (as `order` gives it), so
+rows that share a doc_id or have none are dealt out by their other columns; rows equal in all of them are in
+an arbitrary order and numbered in one task. An empty table gives an empty result. Columns may have any
+names, since rows are carried as one value; the added columns are named by the caller.
 """
 
 from __future__ import annotations
@@ -23,16 +26,19 @@ import heapq
 import json
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
+
+from .store import partitions
 
 BLOCK = 16
 SEED = 42
 #: Parts that weights from sizes add up to, about.
 PARTS = 1000
 MAX_SOURCES = 256
-#: Rows of one source that one task numbers, about.
-RANGE = 4_000
+#: Rows of one source in a range of hashes that is numbered by itself, about.
+RANGE = 1_000
 
 
 def period(parts: list[int]) -> list[list[int]]:
@@ -56,8 +62,9 @@ def phases(blocks: list[int], parts: list[int]) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in blocks]
     used, begin = [0] * len(blocks), 0
     while left := [s for s in range(len(blocks)) if used[s] < blocks[s]]:
-        slots = period([parts[s] for s in left])
-        size = sum(parts[s] for s in left)
+        left = [s for s in left if parts[s]] or left
+        now = [parts[s] or 1 for s in left]
+        slots, size = period(now), sum(now)
         rest = [blocks[s] - used[s] for s in left]
         end = 1 + min((r - 1) // len(p) * size + p[(r - 1) % len(p)] for r, p in zip(rest, slots, strict=True))
         for s, p in zip(left, slots, strict=True):
@@ -71,43 +78,72 @@ def phases(blocks: list[int], parts: list[int]) -> list[list[dict]]:
 
 def parts_by_size(counts: list[int]) -> list[int]:
     """Target weights that flatten sizes: proportional to the square root."""
-    root = [math.sqrt(n) for n in counts]
-    return [max(1, round(PARTS * r / sum(root))) for r in root]
+    return scaled([math.sqrt(n) for n in counts])
+
+
+def scaled(weights: list[float]) -> list[int]:
+    """Whole parts in proportion to the weights, about PARTS in all and at least one for each that isn't 0."""
+    total = sum(weights)
+    return [max(1, round(PARTS * w / total)) if w else 0 for w in weights]
+
 
+def order(docs: DataFrame) -> Column:
+    """The pseudo-random order of rows, from all columns but maps."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)), F.lit(SEED))
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, int] | None = None, block: int = BLOCK, names: tuple[str, str, str] = ("block", "slot", "place")) -> DataFrame:
+
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, names: tuple[str, str, str] = ("block", "slot", "place"), key: str | None = None) -> DataFrame:
     """docs with three more columns: the block within its source, its slot, and the place in the block.
 
-    Rows in order of slot and place are the mix. weights: whole parts by source; without them they
-    follow from the sizes of the sources.
+    Rows in order of slot and place are the mix. weights: parts by source, scaled if they are not whole or
+    add up to more than PARTS; without them they follow from the sizes of the sources. key: the column that
+    has `order` already.
     """
     spark = docs.sparkSession
-    known = docs.groupBy(F.col("source").cast("string").alias("source")).count().limit(MAX_SOURCES + 1).collect()
-    if len(known) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    source = F.col("source").cast("string").alias("source")
+    counted = docs.groupBy(source).count()
+    known = counted.orderBy(F.desc("count"), F.asc_nulls_first("source")).limit(MAX_SOURCES).collect()
+    rest = []
+    if len(known) == MAX_SOURCES:  # perhaps not all: the smaller ones are one
+        known = known[:-1]
+        total = docs.count() - sum(x["count"] for x in known)
+        rest = [total] if weights is None else [total, sum(weights.get(x, 1) for x in {*weights} - {x["source"] for x in known}) or 1]
     known = sorted(known, key=lambda x: (x["source"] is not None, x["source"]))
-    counts = [x["count"] for x in known]
-    parts = parts_by_size(counts) if weights is None else [weights.get(x["source"], 1) for x in known]
-    plan = phases([-(-n // block) for n in counts], parts)
-    table = json.dumps([{"of": x["source"], "phases": p} for x, p in zip(known, plan, strict=True)])
-    schema = "array<struct<of:string,phases:array<struct<first:long,n:long,slot:long,size:long,slots:array<int>>>>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(table), schema)))
+    counts = [x["count"] for x in known] + rest[:1]
+    if weights is None:
+        parts = parts_by_size(counts)
+    else:
+        parts = [weights.get(x["source"], 1) for x in known] + rest[1:]
+        parts = parts if all(w == int(w) for w in parts) and sum(parts) <= PARTS else scaled(parts)
+    plan = [[p | {"id": s} for p in own] for s, own in enumerate(phases([-(-n // block) for n in counts], [int(w) for w in parts]))]
+    ids = spark.createDataFrame([(x["source"], s) for s, x in enumerate(known)], "of string, id int")
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([p for own in plan for p in own])), "array<struct<id:int,first:long,n:long,slot:long,size:long,slots:array<int>>>")))
+    table = F.broadcast(table.select(F.col("id").alias("phase_id"), "first", "n", F.col("slot").alias("begin"), "size", "slots"))
 
     bits = max(1, math.ceil(math.log2(max(2, max(counts, default=1) / RANGE))))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    order = F.xxhash64(F.col("row.doc_id"), F.lit(SEED))
-    rows = rows.withColumns({"source": F.col("row.source").cast("string"), "key": order, "part": F.shiftrightunsigned(order, 64 - bits)})
+    hashed = order(docs) if key is None else F.col(f"`{key}`")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), hashed.alias("key"), source)
+    rows = rows.join(F.broadcast(ids), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("id", F.coalesce("id", F.lit(len(known))))
     # the first digit of an unsigned order; within a part the signed order of the keys is the same
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "part").orderBy("key", "row.doc_id")).cast("long") - 1)
-    sizes = docs.select(F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(SEED)), 64 - bits).alias("part")).groupBy("source", "part").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("source").alias("of_source"), F.col("part").alias("of_part"), before.alias("before"))
-    same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("part") == F.col("of_part"))
-    ranked = numbered.join(sizes, same).withColumn("rank", F.col("at") + F.col("before"))
-    placed = ranked.withColumn("block", F.floor(F.col("rank") / block)).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of")))
-    phase = F.filter("phases", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["first"] + p["n"]))[0]
-    placed = placed.withColumn("phase", phase)
-    within = F.col("block") - F.col("phase.first")
-    width = F.size("phase.slots")
-    slot = F.col("phase.slot") + F.floor(within / width) * F.col("phase.size") + F.element_at("phase.slots", F.pmod(within, width).cast("int") + 1)
+    rows = rows.select("row", "key", "id", F.shiftrightunsigned("key", 64 - bits).alias("part"))
+    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("id", "part").orderBy("key")).cast("long") - 1)
+    sizes = rows.groupBy("id", "part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = numbered.join(sizes.select("id", "part", before.alias("before")), ["id", "part"])
+    ranked = ranked.select("row", "id", (F.col("at") + F.col("before")).alias("rank")).withColumn("block", F.floor(F.col("rank") / block))
+    within = F.col("block") - F.col("first")
+    width = F.size("slots")
+    slot = F.col("begin") + F.floor(within / width) * F.col("size") + F.element_at("slots", F.pmod(within, width).cast("int") + 1)
+    placed = ranked.join(table, (F.col("id") == F.col("phase_id")) & F.expr("first <= block and block < first + n"))
     return placed.select("row.*", F.col("block").alias(names[0]), slot.alias(names[1]), F.pmod("rank", F.lit(block)).cast("int").alias(names[2]))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """The rows of docs in the order of their mix: as many runs of slots as there are partitions, each sorted in
+    a partition of its own. Texts cross two shuffles, one to be numbered and one to their place."""
+    names = ("\x01block", "\x01slot", "\x01place")
+    mixed = mix_sources(docs, names=names)
+    n = partitions(docs.sparkSession)
+    blocks = docs.groupBy("source").count().agg(F.sum(F.ceil(F.col("count") / BLOCK))).first()[0] or 1
+    run = F.least(F.floor(F.col(names[1]) * n / F.lit(blocks)), F.lit(n - 1)).cast("int")
+    return mixed.repartitionById(n, run).sortWithinPartitions(*names[1:]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -28,8 +28,8 @@ from .repeats import word_ids
 
 MIN_WORDS = 50
 MIN_REPEAT = 10
-MAX_COVERED = 0.3
-MAX_LONGEST = 0.2
+MAX_COVERED = 0.2
+MAX_LONGEST = 0.1
 SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\v\f\r"
 _BLANK_STR = _BLANK.decode()
@@ -122,25 +122,52 @@ def _duplicate_lines(text: str) -> int:
     return n
 
 
+def _measures(texts: pa.Array, min_repeat: int) -> list[list[int]]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, longest_repeat of each text."""
+    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    words = [word_ids(b) for b in raw]
+    rows = []
+    for data, ids, (three, wide, longest) in zip(raw, words, repetition(words, min_repeat), strict=True):
+        bare = data.translate(None, _BLANK)
+        rows.append([len(ids), len(bare.decode("utf-8", "replace")), len(data) - len(data.translate(None, SYMBOLS)), _duplicate_lines(data.decode("utf-8", "replace")), three, wide, longest])
+    return rows
+
+
 def _measured(batches: Iterator[pa.RecordBatch], min_repeat: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = batch.column("text").cast(pa.binary()).to_pylist()
-        words = [word_ids(b) for b in raw]
-        found = repetition(words, min_repeat)
-        rows = []
-        for data, ids, (three, wide, longest) in zip(raw, words, found, strict=True):
-            bare = data.translate(None, _BLANK)
-            rows.append((len(ids), len(bare.decode("utf-8", "replace")), len(data) - len(data.translate(None, SYMBOLS)), _duplicate_lines(data.decode("utf-8", "replace")), three, wide, longest))
+        rows = _measures(batch.column("text"), min_repeat)
         columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat"])
 
 
+def base_failed(n_words, n_repeat_words, min_words: int = MIN_WORDS):
+    """Of numbers or of columns."""
+    return (n_words < min_words) | (100 * n_repeat_words > 50 * n_words)
+
+
+def repeats_fine(n_words, n_covered, longest_repeat, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST):
+    """The verdict of the suffix array, of numbers or of columns."""
+    return (n_covered <= max_covered * n_words) & ((longest_repeat < min_repeat) | (longest_repeat <= max_longest * n_words))
+
+
+def _good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = _measures(batch.column("text"), MIN_REPEAT)
+        keep = [not base_failed(n, three) and repeats_fine(n, wide, longest) for n, _, _, _, three, wide, longest in rows]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose texts pass all rules. Rows are judged where they are, without a shuffle."""
+    return docs.mapInArrow(_good, docs.schema)
+
+
 def quality_rules(docs: DataFrame, min_words: int = MIN_WORDS, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """Per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_covered, longest_repeat."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long"
     rows = slim.mapInArrow(partial(_measured, min_repeat=min_repeat), schema)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = (F.col("n_covered") <= max_covered * F.col("n_words")) & ((F.col("longest_repeat") < min_repeat) | (F.col("longest_repeat") <= max_longest * F.col("n_words")))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"), min_words)
+    fine = repeats_fine(F.col("n_words"), F.col("n_covered"), F.col("longest_repeat"), min_repeat, max_covered, max_longest)
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & fine).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat")

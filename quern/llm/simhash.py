@@ -1,29 +1,32 @@
 """Operator 8, SimHash near-dedup with Golay-code fuzzy hashing.
 
-A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. Of at most 3 differing bits two
-segments hold at most one each. The perfect Golay code of length 23 decodes every segment to the one
-codeword within 3 bits; the other of two segments that differ in one bit has that codeword within 4,
-of which there are 1 or 6. So for each two segments a fingerprint is filed under one pair of codeword
-indices and looked up under 1 to 36 pairs, and fingerprints within 3 bits always meet. Two segments
-that differ in two bits still share a codeword within 4 bits of both, the one nearest to the segment
-halfway; so if a fingerprint is filed under all pairs that have a nearest codeword, those within 5 bits
-meet as well. Those that meet are verified on all 64 bits, and on request by the Jaccard similarity of
-their texts' shingles. For that each text also carries a fingerprint of the set of these shingles, its
-check: sets that have 0.8 in common differ in about 10 of its bits, others in about 32. Pairs whose checks
-differ in more than CHECK_BITS go no further, which by estimate loses a similar pair about once in a million.
-
-Equal fingerprints are one node; where similarity is asked for, checks must be equal too. A large bucket
-gives a spanning forest of its links, the most similar first, and components come from rounds of joins
-(components.components). A link may turn out not to be similar. Then its bucket goes on in rounds: nodes
-are joined by verified links alone, and each that is not in the largest group asks for its closest pairs
-with other groups that were not compared yet, in each round up to four times as many, until none is left. So components are those
-of all similar pairs, whatever the size of a bucket.
+A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits. Of at most MAX_BITS differing bits
+two segments hold at most one each, or none and two. The perfect Golay code of length 23 decodes every
+segment to the one codeword within 3 bits. If two segments differ in one bit, each has the other's
+codeword within 4 bits, of which there are 1 or 6; if they differ in two, they share a codeword within 4
+bits of both, the one nearest to the segment halfway. So for each two segments a fingerprint's keys are
+the nearest codeword of one with all codewords within 4 bits of the other, 1 to 11 pairs of codeword
+indices, and fingerprints within MAX_BITS always meet under one. Those that meet are verified on all 64
+bits. Equal fingerprints are one node. A bucket gives the pairs of its links or, if it is large, a
+spanning forest of them, and components come from rounds of joins (components.components).
+
+near_dedup compares texts as well. Equal texts are one node, which has several fingerprints of its
+different words, seeded differently, and a sketch, a fingerprint of the set of its shingles of `words`
+words. A candidate is a pair within max_bits in one of the fingerprints and within SKETCH_BITS in the
+sketch (texts with 0.8 of the shingles in common differ in about 10 of its bits, others in about 32).
+Candidates are verified by the Jaccard similarity of the shingles, and components are those of all similar
+candidates at every bucket size: a forest of a large bucket is of candidates, so where a link of it turns
+out not to be similar its bucket goes on in rounds. Nodes are joined by verified links alone, and each
+that is not in the largest group asks for its closest pairs with other groups that were not compared yet,
+in each round up to four times as many, until none is left.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
-text of fewer words than a shingle has one shingle, the whole. Where similarity is asked for, the text
-of the smallest doc_id stands for a node, and one without any doc_id is linked to no other. component_id is the smallest doc_id
+text of fewer words than a shingle has one shingle, the whole. component_id is the smallest doc_id
 reachable; null only if no row of the component has one. Repeated rows count as equal fingerprints.
-An empty table gives an empty result. Other columns are ignored.
+An empty table gives an empty result. Other columns are ignored by simhash and kept by near_dedup, whatever
+their names. Of equal texts near_dedup keeps the row with the smallest doc_id, null last, and of rows with
+equal ids that with the smallest other columns as JSON. Texts are nodes by 64 bits of a hash; should two
+different ones share them, one is compared with no other and stays.
 """
 
 from __future__ import annotations
@@ -41,23 +44,27 @@ from pyspark.sql import functions as F
 from . import grams
 from .components import components
 from .repeats import word_ids
-from .store import written
+from .store import bucketed, partitions, text_id, written
 
 SHINGLE = 3
-MAX_BITS = 3
-#: Of these keys, the most bits that two fingerprints may differ in and still always meet.
-WIDE_BITS = 5
+LINK_BITS = 3
+#: The most bits that two fingerprints may differ in and still always meet.
+MAX_BITS = 4
 SEED = 42
+#: Of near_dedup: fingerprints of a text, and words of a shingle.
+FAMILIES = 3
+WORDS = 5
+SIMILARITY = 0.8
 #: The generator polynomial of the binary Golay code of length 23: x^11+x^9+x^7+x^6+x^5+x+1.
 GOLAY = 0b101011100011
-#: Buckets of more entries are linked by search instead of by all pairs.
+#: Buckets of more entries give a spanning forest instead of all pairs.
 SMALL = 16
 #: In buckets of up to so many entries those without a link are set aside before the search.
 MEDIUM = 512
-#: Where similarity is asked for, the most bits that the checks of two texts may differ in.
-CHECK_BITS = 24
-#: Differing bits of checks up to which the links of a large bucket are sought, one after another.
-LEVELS = (6, 12, 18, CHECK_BITS)
+#: The most bits that the sketches of two candidates differ in.
+SKETCH_BITS = 24
+#: Differing bits of sketches up to which the links of a large bucket are sought, one after another.
+LEVELS = (6, 12, 18, SKETCH_BITS)
 #: Pairs that a node of a large bucket asks for in the first round after the forest.
 ASKED = 4
 
@@ -83,13 +90,23 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(h), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, distinct: bool, words: int | None) -> Iterator[pa.RecordBatch]:
-    """words: the size of the shingles whose set gives the check; without it there is none."""
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        made = [[majority(shingles(t, size)) if distinct else fingerprint(t, size) for t in texts]]
-        made += [[majority(shingles(t, words)) for t in texts]] if words else []
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in made)], ["doc", "print", "check"][: 1 + len(made)])
+        made = [fingerprint(t, size) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc", "print"])
+
+
+def sketches(data: bytes, families: int = FAMILIES, words: int = WORDS) -> list[int]:
+    """The fingerprints of the different words of a text, one for each seed, and that of its set of shingles."""
+    one = shingles(data, 1)
+    return [*(majority(grams.mix(one, np.full(1, seed, np.uint64))) for seed in range(families)), majority(shingles(data, words))]
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], families: int, words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = np.array([sketches(t, families, words) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, families + 1).view(np.int64)
+        prints = pa.array(list(made[:, :families]), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("doc"), prints, pa.array(made[:, families])], ["tid", "doc", "prints", "sketch"])
 
 
 @lru_cache(maxsize=1)
@@ -130,51 +147,49 @@ def _codewords(segment: np.ndarray) -> np.ndarray:
     return np.where(error < 0, -1, (segment[:, None] ^ error) >> 11)
 
 
-def keys_of(prints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Arrays key, filed and index of the fingerprint, for all places where each is filed or looked up."""
+def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays key and index of the fingerprint, for all keys of each."""
     segments = [(prints & np.uint64((1 << 23) - 1)).astype(np.int64), (prints >> np.uint64(23) & np.uint64((1 << 23) - 1)).astype(np.int64), (prints >> np.uint64(46)).astype(np.int64)]
     words = [_codewords(s) for s in segments]
-    keys, filed, index = [], [], []
+    keys, index = [], []
     for which, (i, j) in enumerate(combinations(range(3), 2)):
-        a, b = words[i][:, :, None], words[j][:, None, :]
-        key = (which << 24) | (a << 12) | b
-        ok = (a >= 0) & (b >= 0)
-        home = np.zeros_like(ok)
-        home[:, 0, 0] = True
-        if wide:
-            home[:, 0, :] = home[:, :, 0] = True
-        keys.append(key[ok])
-        filed.append(home[ok])
-        index.append(np.broadcast_to(np.arange(len(prints))[:, None, None], ok.shape)[ok])
-    return np.concatenate(keys), np.concatenate(filed), np.concatenate(index)
-
-
-def _places(batches: Iterator[pa.RecordBatch], wide: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each place of a fingerprint, which all columns of the fingerprint go along with."""
+        left = np.concatenate([words[i], np.repeat(words[i][:, :1], 5, axis=1)], axis=1)
+        right = np.concatenate([np.repeat(words[j][:, :1], 6, axis=1), words[j][:, 1:]], axis=1)
+        ok = (left >= 0) & (right >= 0)
+        keys.append(((which << 24) | (left << 12) | right)[ok])
+        index.append(np.broadcast_to(np.arange(len(prints))[:, None], ok.shape)[ok])
+    return np.concatenate(keys), np.concatenate(index)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each key of a fingerprint, which all columns of the fingerprint go along with; those of
+    different families don't meet."""
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        prints = batch.column("print").to_numpy(zero_copy_only=False)
-        for at in range(0, len(prints), 2048):
-            key, filed, index = keys_of(prints[at : at + 2048].view(np.uint64), wide)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(filed), *(pa.array(c[at + index]) for c in columns)], ["key", "filed", *batch.schema.names])
+        family = columns[batch.schema.names.index("family")].astype(np.int64)
+        prints = columns[batch.schema.names.index("print")].view(np.uint64)
+        for at in range(0, len(prints), 4096):
+            key, index = keys_of(prints[at : at + 4096])
+            key += family[at + index] * 3 << 24
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *(pa.array(c[at + index]) for c, n in zip(columns, batch.schema.names, strict=True) if n != "family")], ["key", *(n for n in batch.schema.names if n != "family")])
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64))
 
 
-def _search(prints: np.ndarray, check: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]:
-    """A spanning forest, as pairs of indices, of the links of at most max_bits, and `most` of the checks."""
+def _search(prints: np.ndarray, sketch: np.ndarray, max_bits: int, most: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of indices, of the links of at most max_bits, and `most` of the sketches."""
     left = np.arange(len(prints))
     if len(left) <= MEDIUM:
-        near = (_bits(prints[:, None] ^ prints) <= max_bits) & (_bits(check[:, None] ^ check) <= most)
+        near = (_bits(prints[:, None] ^ prints) <= max_bits) & (_bits(sketch[:, None] ^ sketch) <= most)
         left = left[near.sum(axis=1) > 1]
     links: list[tuple[int, int]] = []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            near = (_bits(prints[left] ^ prints[i]) <= max_bits) & (_bits(check[left] ^ check[i]) <= most)
+            near = (_bits(prints[left] ^ prints[i]) <= max_bits) & (_bits(sketch[left] ^ sketch[i]) <= most)
             found = left[near]
             links += [(int(i), j) for j in found.tolist()]
             queue += list(found)
@@ -182,11 +197,11 @@ def _search(prints: np.ndarray, check: np.ndarray, max_bits: int, most: int) ->
     return links
 
 
-def forest(prints: np.ndarray, max_bits: int, node: np.ndarray | None = None, check: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these nodes; with checks, links of close checks first."""
+def forest(prints: np.ndarray, max_bits: int, node: np.ndarray | None = None, sketch: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among these nodes; with sketches, links of close ones first."""
     node, first = np.unique(prints if node is None else node, return_index=True)
     prints = prints[first]
-    if check is None:
+    if sketch is None:
         return [(int(node[i]), int(node[j])) for i, j in _search(prints, prints, max_bits, max_bits)]
     above = list(range(len(node)))
 
@@ -197,7 +212,7 @@ def forest(prints: np.ndarray, max_bits: int, node: np.ndarray | None = None, ch
 
     links = []
     for most in LEVELS:
-        for i, j in _search(prints, check[first], max_bits, most):
+        for i, j in _search(prints, sketch[first], max_bits, most):
             a, b = top(i), top(j)
             if a != b:
                 above[a] = b
@@ -205,33 +220,32 @@ def forest(prints: np.ndarray, max_bits: int, node: np.ndarray | None = None, ch
     return links
 
 
-def _met(key: np.ndarray, filed: np.ndarray, prints: np.ndarray, check: np.ndarray | None = None, node: np.ndarray | None = None, *, max_bits: int) -> pa.RecordBatch:
+def _met(key: np.ndarray, prints: np.ndarray, sketch: np.ndarray | None = None, node: np.ndarray | None = None, *, max_bits: int) -> pa.RecordBatch:
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(begin, len(key)))
-    some = np.add.reduceat(filed.astype(np.int64), begin)
     links: list[tuple[int, int]] = []
     keys: list[int] = []
-    for b, n in zip(begin[(size > SMALL) & (some > 0)].tolist(), size[(size > SMALL) & (some > 0)].tolist(), strict=True):
-        found = forest(prints[b : b + n], max_bits, *(None if x is None else x[b : b + n] for x in (node, check)))
+    for b, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        found = forest(prints[b : b + n], max_bits, *(None if x is None else x[b : b + n] for x in (node, sketch)))
         links += found
         keys += [int(key[b])] * len(found)
     group = np.repeat(np.arange(len(begin)), size)
-    rows = np.flatnonzero(filed & (size[group] > 1) & (size[group] <= SMALL))
-    n = size[group[rows]]
+    rows = np.flatnonzero((size[group] > 1) & (size[group] <= SMALL))
+    n = begin[group[rows]] + size[group[rows]] - rows - 1  # entries after it in its bucket
     left = np.repeat(rows, n)
-    right = np.repeat(begin[group[rows]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     x, y = (prints if node is None else node)[left], (prints if node is None else node)[right]
     near = (x != y) & (_bits(prints[left] ^ prints[right]) <= max_bits)
-    if check is not None:
-        near &= _bits(check[left] ^ check[right]) <= CHECK_BITS
+    if sketch is not None:
+        near &= _bits(sketch[left] ^ sketch[right]) <= SKETCH_BITS
     pairs = np.concatenate([np.stack([x[near], y[near]], axis=1), np.array(links, np.int64).reshape(-1, 2)])
-    of = np.append(np.full(near.sum(), -1), np.array(keys, np.int64)) if check is not None else np.full(len(pairs), -1)
+    of = np.append(np.full(near.sum(), -1), np.array(keys, np.int64)) if sketch is not None else np.full(len(pairs), -1)
     pairs = np.unique(np.stack([pairs.max(axis=1), pairs.min(axis=1), of], axis=1), axis=0) if len(pairs) else np.empty((0, 3), np.int64)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "key"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """a, b and, with checks, the key of a large bucket that gave the link; -1 for others."""
+    """a, b and, with sketches, the key of a large bucket that gave the link; -1 for others."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names)
@@ -254,11 +268,11 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
 def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
     """Pairs of one large bucket that are to be compared next. A row is a node, or a pair (b not null)
     that was compared."""
-    key, a, b, ok, prints, check = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "check"))
+    key, a, b, ok, prints, sketch = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "sketch"))
     pair = b.is_valid().to_numpy(zero_copy_only=False)
     a = a.to_numpy()
     node, first = np.unique(a[~pair], return_index=True)
-    prints, check = (x.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first] for x in (prints, check))
+    prints, sketch = (x.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first] for x in (prints, sketch))
     x, y = np.searchsorted(node, a[pair]), np.searchsorted(node, b.filter(pa.array(pair)).to_numpy(zero_copy_only=False))
     good = ok.filter(pa.array(pair)).to_numpy(zero_copy_only=False).astype(bool)
     above = list(range(len(node)))
@@ -277,8 +291,8 @@ def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
     cut = np.searchsorted(ends, np.arange(len(node) + 1))
     found = []
     for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
-        far = _bits(check ^ check[i])
-        near = (_bits(prints ^ prints[i]) <= max_bits) & (far <= CHECK_BITS) & (group != group[i])
+        far = _bits(sketch ^ sketch[i])
+        near = (_bits(prints ^ prints[i]) <= max_bits) & (far <= SKETCH_BITS) & (group != group[i])
         near[others[cut[i] : cut[i + 1]]] = False
         at = np.flatnonzero(near)
         if len(at) > most:
@@ -300,11 +314,8 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
 
 
-def _similar(links: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of links (a, b) of doc_ids whose texts are similar. texts: doc, text."""
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    own = texts.select(F.col("doc").alias("node"), "text").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, shingles array<bigint>"), "shingles")
+def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of links (a, b) whose texts are similar. sets: node, shingles."""
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = links.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
@@ -317,14 +328,14 @@ def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
     return ask
 
 
-def _all_similar(places: DataFrame, links: DataFrame, texts: DataFrame, words: int, similarity: float, max_bits: int) -> DataFrame:
-    """Links (a, b) of similar texts whose components are those of all similar pairs that meet. places:
-    rows of _places; links: of _links."""
-    nodes = places.select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "check")
-    asked, most, rounds = written(links.distinct(), "links"), ASKED, []
+def _all_similar(places: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """Links (a, b) of similar texts whose components are those of all similar candidates. places: rows of
+    _places; links: of _links; sets: node and shingles of each node that has a link."""
+    nodes = places.select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "sketch")
+    asked, most, rounds = links, ASKED, []
     similar = None
     while True:
-        good = written(_similar(asked.select("a", "b").distinct(), texts, words, similarity), "similar")
+        good = written(_similar(asked.select("a", "b").distinct(), sets, similarity), "similar")
         similar = good if similar is None else similar.unionByName(good)
         large = asked.filter("key >= 0")
         rounds.append(written(large.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "compared"))
@@ -335,35 +346,68 @@ def _all_similar(places: DataFrame, links: DataFrame, texts: DataFrame, words: i
         compared = rounds[0]
         for more in rounds[1:]:
             compared = compared.unionByName(more)
-        compared = compared.select("key", "a", "b", "ok", *(F.lit(None).cast("long").alias(c) for c in ("print", "check")))
+        compared = compared.select("key", "a", "b", "ok", *(F.lit(None).cast("long").alias(c) for c in ("print", "sketch")))
         rows = nodes.unionByName(compared).join(going, "key", "left_semi")
         asked = written(rows.groupBy("key").applyInArrow(_asking(max_bits, most), "a long, b long, key int"), "asked")
         most *= 4
 
 
-def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, words: int = 5, similarity: float | None = None, distinct: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, fingerprint, component_id.
+def _meeting(places: DataFrame, max_bits: int) -> DataFrame:
+    return places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long, key int")
 
-    Fingerprints of `shingle`-word shingles, of the different ones if distinct, link at max_bits or fewer
-    differing bits; with similarity, only if also that share of the `words`-word shingles of both texts is
-    common.
-    """
-    if not 0 <= max_bits <= WIDE_BITS:
-        raise ValueError(f"the keys find fingerprints of at most {WIDE_BITS} differing bits")
+
+def simhash(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = LINK_BITS) -> DataFrame:
+    """Per row of docs: doc_id, fingerprint, component_id. Fingerprints of `shingle`-word shingles, repeats
+    included, link at max_bits or fewer differing bits."""
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys find fingerprints of at most {MAX_BITS} differing bits")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    same = ["print"] if similarity is None else ["print", "check"]
-    kinds = ", ".join(f"{c} long" for c in same)
-    made = partial(_fingerprints, size=shingle, distinct=distinct, words=None if similarity is None else words)
-    rows = written(slim.mapInArrow(made, f"doc long, {kinds}"), "prints")
-    nodes = written(rows.groupBy(*same).agg(F.min("doc").alias("least")), "nodes")
-    nodes = nodes.withColumn("node", F.col("print" if similarity is None else "least"))
-    filed = nodes.select(*same) if similarity is None else nodes.filter("node is not null").select(*same, "node")
-    places = filed.mapInArrow(partial(_places, wide=max_bits > MAX_BITS), f"key int, filed boolean, {kinds}{'' if similarity is None else ', node long'}")
-    links = places.repartition("key").sortWithinPartitions("key").mapInArrow(partial(_links, max_bits=max_bits), "a long, b long, key int")
-    if similarity is not None:
-        links = _all_similar(places, links, slim, words, similarity, max_bits)
-    member = components(links).withColumnRenamed("node", "of")
-    root = nodes.join(member, nodes["node"] == member["of"], "left").select(*same, "least", F.coalesce("root", "node").alias("root"))
+    rows = written(slim.mapInArrow(partial(_fingerprints, size=shingle), "doc long, print long"), "prints")
+    nodes = written(rows.groupBy("print").agg(F.min("doc").alias("least")), "nodes")
+    places = nodes.select("print", F.lit(0).alias("family")).mapInArrow(_places, "key int, print long")
+    member = components(_meeting(places, max_bits)).withColumnRenamed("node", "print")
+    root = nodes.join(member, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = root.join(least, root["root"].eqNullSafe(least["root"])).select(*same, "component_id")
-    return rows.join(labels, same).select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = root.join(least, "root").select("print", "component_id")
+    return rows.join(labels, "print").select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def different_texts(docs: DataFrame) -> DataFrame:
+    """tid, doc and row of each different text: the row of the smallest doc_id. Rows are merged before the
+    shuffle, the only one that texts cross; the table is bucketed by tid."""
+    spark = docs.sparkSession
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    doc = F.col("doc_id").cast("long")
+    rows = docs.select(text_id(F.coalesce("text", F.lit(""))).alias("tid"), F.struct(doc.isNull(), doc, F.to_json(F.struct(*others))).alias("order"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    best = rows.groupBy("tid").agg(F.min_by("row", "order").alias("row"))
+    return bucketed(best.select("tid", F.col("row.doc_id").cast("long").alias("doc"), "row"), "tid", partitions(spark))
+
+
+def near_classes(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, families: int = FAMILIES) -> DataFrame:
+    """tid, doc and root of each of different_texts that has a near copy; a class has one root."""
+    slim = texts.select("tid", "doc", F.coalesce("row.text", F.lit("")).alias("text"))
+    kinds = "tid binary, doc long, prints array<bigint>, sketch long"
+    made = slim.mapInArrow(partial(_sketched, families=families, words=words), kinds)
+    nodes = written(made.withColumn("node", F.xxhash64("tid")), "sketches")
+    one = nodes.groupBy("node").agg(F.min_by(F.struct("prints", "sketch"), "tid").alias("x")).select("node", F.col("x.sketch").alias("sketch"), F.posexplode("x.prints").alias("family", "print"))
+    places = one.select("family", "print", "sketch", "node").mapInArrow(_places, "key int, print long, sketch long, node long")
+    links = written(_meeting(places, max_bits).distinct(), "links")
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = nodes.groupBy("node").agg(F.min("tid").alias("tid")).join(ends, "node").select("node", "tid")
+    own = slim.select("tid", "text").join(of.hint("shuffle_hash"), "tid").select("node", "text")
+    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, shingles array<bigint>"), "shingles")
+    member = components(_all_similar(places, links, sets, similarity, max_bits))  # without the roots
+    member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
+    return of.join(member, "node").join(nodes.select("tid", "doc"), "tid").select("tid", "doc", "root")
+
+
+def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, families: int = FAMILIES) -> DataFrame:
+    """One row of docs of each class of near copies: that of the smallest doc_id."""
+    if not 0 <= max_bits <= MAX_BITS:
+        raise ValueError(f"the keys find fingerprints of at most {MAX_BITS} differing bits")
+    texts = different_texts(docs)
+    classes = written(near_classes(texts, words, similarity, max_bits, families), "classes")
+    order = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("tid"))
+    first = classes.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.tid").alias("stays"))
+    gone = classes.join(first, "root").filter("tid != stays").select("tid")
+    return texts.join(gone.hint("shuffle_hash"), "tid", "left_anti").select("row.*")

@@ -72,7 +72,13 @@ def distinct_texts(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     n = partitions(spark)
     grouped = texts.groupBy("tid").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    return bucketed(grouped, "tid", n)
+
+
+def bucketed(df: DataFrame, by: str, n: int) -> DataFrame:
+    """df, written as a table of n buckets, which should be partitioned by `by` like that already."""
+    spark = df.sparkSession
     name = f"quern_{uuid.uuid4().hex}"
     _tables.append(name)
-    grouped.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "texts")).bucketBy(n, "tid").saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, "bucketed")).bucketBy(n, by).saveAsTable(name)
     return spark.table(name)

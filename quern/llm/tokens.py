@@ -5,14 +5,15 @@ those of its words put together. `space` says where a single space between two w
 "before" (to the word after it: byte-level BPE) or "none" (dropped: BPE with word ends, lower case).
 Both also part letters from marks, so a word like `end.` is made from its runs. A run of Latin
 letters goes to the tokenizer's model as it is; anything less plain goes to the tokenizer as a whole:
-words with apostrophes, digits, other scripts, the strings of special tokens, or where more white
-space meets. With space=None each text is encoded as a whole, which is right for any tokenizer.
+words with apostrophes, digits, other scripts, the strings of special tokens, characters that normalising
+or lower-casing takes apart, or where more white space meets. With space=None each text is encoded as a whole, which is right for any tokenizer.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,11 @@ _runs = re.compile(r'[A-Za-zÀ-ÖØ-öø-ÿ]+|[,.;:!?#*$%&|<>()"/=+-]+|\n')
 _MARKS = frozenset(",.;:!?")
 
 
+def _stays(word: str) -> bool:
+    """Whether normalising and lower-casing change no number of code points."""
+    return len(word.lower()) == len(word) and unicodedata.normalize("NFC", word) == word
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed,
     else the next one from U+0100 on."""
@@ -62,7 +68,7 @@ class _Known:
 
     def _new(self, word: str) -> bytes:
         code = self.encoder
-        if not word or len(word) > WORD_CHARS:
+        if not word or len(word) > WORD_CHARS or not (word.isascii() or _stays(word)):
             return code.whole(self.prefix + word)
         if word[-1] in _MARKS and word[:-1].isalpha():
             ids = self.ids(word[:-1]) + code.first.ids(word[-1])

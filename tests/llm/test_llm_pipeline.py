@@ -34,6 +34,7 @@ def test_stages(spark):
             assert kept == before
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert {x.doc_id for x in packed} == set(kept)
+    assert len(kept) > 50
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length").collect())) == sorted((x.doc_id, x.piece, x.length) for x in packed)
 
 
@@ -59,6 +60,22 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
             assert abs(of[:n].count(s) - w * n) < 2 * 16
 
 
+def test_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text), (1, "two words"), (2, text + " end"), (2, text + " end"), (None, None), (None, ""), (3, "w " * 60), (None, " ".join(f"v{i}" for i in range(90)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, slot int, __block string, row int"
+    docs = spark.createDataFrame([(i, t, "en", None, 1, 2, "b", 3) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.schema == spark.createDataFrame([], schema).schema, name
+        docs = spark.createDataFrame(docs.collect(), schema)
+    assert sorted((str(x.doc_id), x.text[:2]) for x in docs.collect()) == [("1", "w0"), ("None", "v0")]
+    assert corpus_pipeline.packing(spark, docs, SF).count() == 2
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
