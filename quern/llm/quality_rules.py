@@ -152,9 +152,11 @@ def repeats_fine(n_words, n_covered, longest_repeat, min_repeat: int = MIN_REPEA
 
 def _good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _measures(batch.column("text"), MIN_REPEAT)
-        keep = [not base_failed(n, three) and repeats_fine(n, wide, longest) for n, _, _, _, three, wide, longest in rows]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        for at in range(0, len(batch), 1000):
+            part = batch.slice(at, 1000)
+            rows = _measures(part.column("text"), MIN_REPEAT)
+            keep = [not base_failed(n, three) and repeats_fine(n, wide, longest) for n, _, _, _, three, wide, longest in rows]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ bits. Equal fingerprints are one node. A bucket gives the pairs of its links or,
 spanning forest of them, and components come from rounds of joins (components.components).
 
 near_dedup compares texts as well. Equal texts are one node, which has several fingerprints of its
-different words, seeded differently, and a sketch, a fingerprint of the set of its shingles of `words`
-words. A candidate is a pair within max_bits in one of the fingerprints and within SKETCH_BITS in the
-sketch (texts with 0.8 of the shingles in common differ in about 10 of its bits, others in about 32).
-Candidates are verified by the Jaccard similarity of the shingles, and components are those of all similar
-candidates at every bucket size: a forest of a large bucket is of candidates, so where a link of it turns
-out not to be similar its bucket goes on in rounds. Nodes are joined by verified links alone, and each
+different words, seeded differently, and sketches, fingerprints of the set of its shingles of `words`
+words. A candidate is a pair within max_bits in one of the fingerprints, within SKETCH_BITS in the first
+sketch and within WIDE_BITS in all WIDE of them (texts with 0.8 of the shingles in common differ in about 10
+and 39 bits, with 2.7 and 5.5 as deviations; others in about 32 and 128). Candidates are verified by the
+Jaccard similarity of the shingles, and components are those of all similar candidates at every bucket size:
+a forest of a large bucket is of pairs near in fingerprint and first sketch, so where a link of it turns out
+not to be similar its bucket goes on in rounds. Nodes are joined by verified links alone, and each
 that is not in the largest group asks for its closest pairs with other groups that were not compared yet,
 in each round up to four times as many, until none is left.
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from . import grams
 from .components import components
 from .repeats import word_ids
-from .store import bucketed, partitions, text_id, written
+from .store import bucketed, mark, partitions, release, text_id, written
 
 SHINGLE = 3
 LINK_BITS = 3
@@ -61,10 +62,12 @@ GOLAY = 0b101011100011
 SMALL = 16
 #: In buckets of up to so many entries those without a link are set aside before the search.
 MEDIUM = 512
-#: The most bits that the sketches of two candidates differ in.
-SKETCH_BITS = 24
+#: Sketches of a text; the most bits that the first of two candidates, and all of them, differ in.
+WIDE = 4
+SKETCH_BITS = 18
+WIDE_BITS = 54
 #: Differing bits of sketches up to which the links of a large bucket are sought, one after another.
-LEVELS = (6, 12, 18, SKETCH_BITS)
+LEVELS = (5, 10, 14, SKETCH_BITS)
 #: Pairs that a node of a large bucket asks for in the first round after the forest.
 ASKED = 4
 
@@ -96,17 +99,23 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc", "print"])
 
 
+def wide_sketch(shingles: np.ndarray) -> list[int]:
+    return [majority(shingles), *(majority(grams.mix(shingles, np.full(1, seed, np.uint64))) for seed in range(1, WIDE))]
+
+
 def sketches(data: bytes, families: int = FAMILIES, words: int = WORDS) -> list[int]:
-    """The fingerprints of the different words of a text, one for each seed, and that of its set of shingles."""
+    """The fingerprints of the different words of a text, one for each seed, and its first sketch."""
     one = shingles(data, 1)
     return [*(majority(grams.mix(one, np.full(1, seed, np.uint64))) for seed in range(families)), majority(shingles(data, words))]
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], families: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = np.array([sketches(t, families, words) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, families + 1).view(np.int64)
-        prints = pa.array(list(made[:, :families]), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("doc"), prints, pa.array(made[:, families])], ["tid", "doc", "prints", "sketch"])
+        for at in range(0, len(batch), 1000):
+            part = batch.slice(at, 1000)
+            made = np.array([sketches(t, families, words) for t in part.column("text").cast(pa.binary()).to_pylist()], np.uint64).reshape(-1, families + 1).view(np.int64)
+            prints = pa.array(list(made[:, :families]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("tid"), part.column("doc"), prints, pa.array(made[:, families])], ["tid", "doc", "prints", "sketch"])
 
 
 @lru_cache(maxsize=1)
@@ -266,13 +275,14 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
 
 
 def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
-    """Pairs of one large bucket that are to be compared next. A row is a node, or a pair (b not null)
-    that was compared."""
-    key, a, b, ok, prints, sketch = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "sketch"))
+    """Pairs of one large bucket that are to be compared next. A row is a node with its sketches (wide), or a
+    pair (b not null) that was compared."""
+    key, a, b, ok, prints, wide = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "wide"))
     pair = b.is_valid().to_numpy(zero_copy_only=False)
     a = a.to_numpy()
     node, first = np.unique(a[~pair], return_index=True)
-    prints, sketch = (x.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first] for x in (prints, sketch))
+    prints = prints.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first]
+    wide = np.array(wide.filter(pa.array(~pair)).flatten()).reshape(-1, WIDE)[first]
     x, y = np.searchsorted(node, a[pair]), np.searchsorted(node, b.filter(pa.array(pair)).to_numpy(zero_copy_only=False))
     good = ok.filter(pa.array(pair)).to_numpy(zero_copy_only=False).astype(bool)
     above = list(range(len(node)))
@@ -291,8 +301,9 @@ def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
     cut = np.searchsorted(ends, np.arange(len(node) + 1))
     found = []
     for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
-        far = _bits(sketch ^ sketch[i])
-        near = (_bits(prints ^ prints[i]) <= max_bits) & (far <= SKETCH_BITS) & (group != group[i])
+        bits = _bits(wide ^ wide[i])
+        far = bits.sum(axis=1, dtype=np.int64)
+        near = (_bits(prints ^ prints[i]) <= max_bits) & (bits[:, 0] <= SKETCH_BITS) & (far <= WIDE_BITS) & (group != group[i])
         near[others[cut[i] : cut[i + 1]]] = False
         at = np.flatnonzero(near)
         if len(at) > most:
@@ -309,16 +320,24 @@ def shingles(data: bytes, size: int) -> np.ndarray:
 
 
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The sketches of each text and its shingles, as 32 bits each."""
     for batch in batches:
-        found = [shingles(t, size).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+        for at in range(0, len(batch), 1000):
+            part = batch.slice(at, 1000)
+            sets = [shingles(t, size) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            wide = np.array([wide_sketch(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+            short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(wide), pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], ["node", "wide", "shingles"])
 
 
 def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of links (a, b) whose texts are similar. sets: node, shingles."""
-    one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = links.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(F.col("common") >= similarity * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    """Those of links (a, b) whose texts are similar. sets: node, wide, shingles."""
+    wide = [sets.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b")]
+    bits = F.aggregate(F.arrays_zip("wide_a", "wide_b"), F.lit(0), lambda n, x: n + F.bit_count(x["wide_a"].bitwiseXOR(x["wide_b"])))
+    near = links.join(wide[0], "a").join(wide[1], "b").filter(bits <= WIDE_BITS).select("a", "b")
+    own = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")) for c in ("a", "b")]
+    both = near.join(own[0], "a").join(own[1], "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    return both.filter(F.col("common") >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
 def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
@@ -330,8 +349,7 @@ def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
 
 def _all_similar(places: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, max_bits: int) -> DataFrame:
     """Links (a, b) of similar texts whose components are those of all similar candidates. places: rows of
-    _places; links: of _links; sets: node and shingles of each node that has a link."""
-    nodes = places.select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "sketch")
+    _places; links: of _links; sets: node, wide and shingles of each node that has a link."""
     asked, most, rounds = links, ASKED, []
     similar = None
     while True:
@@ -343,11 +361,13 @@ def _all_similar(places: DataFrame, links: DataFrame, sets: DataFrame, similarit
         going = (rounds[0].filter("not ok") if len(rounds) == 1 else large).select("key").distinct()
         if going.isEmpty():
             return similar.distinct()
+        if len(rounds) == 1:  # nodes without a link have no candidate
+            nodes = places.select("key", "print", F.col("node").alias("a")).join(going, "key", "left_semi").join(sets.select(F.col("node").alias("a"), "wide"), "a")
+            nodes = written(nodes.select("key", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "wide"), "open")
         compared = rounds[0]
         for more in rounds[1:]:
             compared = compared.unionByName(more)
-        compared = compared.select("key", "a", "b", "ok", *(F.lit(None).cast("long").alias(c) for c in ("print", "sketch")))
-        rows = nodes.unionByName(compared).join(going, "key", "left_semi")
+        rows = nodes.unionByName(compared.select("key", "a", "b", "ok"), allowMissingColumns=True).join(going, "key", "left_semi")
         asked = written(rows.groupBy("key").applyInArrow(_asking(max_bits, most), "a long, b long, key int"), "asked")
         most *= 4
 
@@ -395,7 +415,7 @@ def near_classes(texts: DataFrame, words: int = WORDS, similarity: float = SIMIL
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     of = nodes.groupBy("node").agg(F.min("tid").alias("tid")).join(ends, "node").select("node", "tid")
     own = slim.select("tid", "text").join(of.hint("shuffle_hash"), "tid").select("node", "text")
-    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, shingles array<bigint>"), "shingles")
+    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, wide array<bigint>, shingles array<int>"), "shingles")
     member = components(_all_similar(places, links, sets, similarity, max_bits))  # without the roots
     member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
     return of.join(member, "node").join(nodes.select("tid", "doc"), "tid").select("tid", "doc", "root")
@@ -406,7 +426,9 @@ def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError(f"the keys find fingerprints of at most {MAX_BITS} differing bits")
     texts = different_texts(docs)
+    since = mark()
     classes = written(near_classes(texts, words, similarity, max_bits, families), "classes")
+    release(docs.sparkSession, since)
     order = F.struct(F.col("doc").isNull(), F.col("doc"), F.col("tid"))
     first = classes.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.tid").alias("stays"))
     gone = classes.join(first, "root").filter("tid != stays").select("tid")

@@ -40,6 +40,19 @@ def clean(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def mark() -> int:
+    """For release: how many tables have been written so far."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Deletes the tables written since the mark, but for the last, which was made from them."""
+    gone, _paths[since:] = _paths[since:-1], _paths[max(since, len(_paths) - 1) :]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back."""
     spark = df.sparkSession

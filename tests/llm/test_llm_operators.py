@@ -402,10 +402,12 @@ def near_classes_brute(rows):
     """By id the smallest id reachable over pairs that one of the fingerprints finds and that are similar."""
     made = {i: simhash.sketches((t or "").encode()) for i, t in rows}
     sets = {i: set(simhash.shingles((t or "").encode(), 5).tolist()) for i, t in rows}
+    wide = {i: simhash.wide_sketch(simhash.shingles((t or "").encode(), 5)) for i, t in rows}
 
     def near(i, j):
         bits = [(a ^ b).bit_count() for a, b in zip(made[i], made[j], strict=True)]
-        return min(bits[:-1]) <= simhash.MAX_BITS and bits[-1] <= simhash.SKETCH_BITS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+        far = sum((a ^ b).bit_count() for a, b in zip(wide[i], wide[j], strict=True))
+        return min(bits[:-1]) <= simhash.MAX_BITS and bits[-1] <= simhash.SKETCH_BITS and far <= simhash.WIDE_BITS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
 
     links = {i: [j for j in sets if near(i, j)] for i in sets}
     least = {i: i for i in sets}
@@ -454,7 +456,7 @@ def test_near_dedup_compares_all_of_a_large_bucket(spark):
 
 def test_forest_prefers_close_sketches():
     prints, node = np.zeros(40, np.int64), np.arange(40)
-    sketch = np.where(node % 2, 2**20 - 1, 0)  # two groups that differ in 20 bits
+    sketch = np.where(node % 2, 2**17 - 1, 0)  # two groups that differ in 17 bits
     links = simhash.forest(prints, 4, node, sketch)
     assert len(links) == 39 and sum((a - b) % 2 for a, b in links) == 1
     assert len(simhash.forest(prints, 4, node, np.where(node % 2, 2**30 - 1, 0))) == 38
