@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, dialects, joins, more, scalars, statements, windows  # noqa: F401
+from . import aggregates, dialects, joins, jsons, more, scalars, statements, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 
