@@ -37,13 +37,15 @@ def initial_upper(text: Column) -> Column:
 
 def integer_division(a: Column, b: Column) -> Column:
     """The quotient cut towards zero, null for division by zero (DIV)."""
-    return F.when(b != 0, (a / b).cast("long"))
+    return F.when(b != 0, F.call_function("div", a, b))
 
 
 def truncate(x: Column, digits: int) -> Column:
     """x cut towards zero after `digits` decimals (TRUNCATE, TRUNC)."""
-    scale = F.lit(10.0**digits)
-    return F.when(x < 0, F.ceil(x * scale)).otherwise(F.floor(x * scale)) / scale
+    exact = F.round(x.cast("decimal(38,12)"), 12)
+    unit = F.lit(10**digits).cast("decimal(18,0)")
+    cut = F.when(x < 0, F.ceil(exact * unit)).otherwise(F.floor(exact * unit))
+    return (cut / unit).cast("double")
 
 
 def since_epoch(ts: Column, unit: str = "SECOND") -> Column:
@@ -62,13 +64,15 @@ def quarter_label(ts: Column) -> Column:
 
 def months_between_whole(start: Column, end: Column) -> Column:
     """Whole months from start to end (TIMESTAMPDIFF(MONTH, ...))."""
-    return F.months_between(end, start).cast("int")
+    return F.timestamp_diff("MONTH", start.cast("timestamp_ntz"), end.cast("timestamp_ntz"))
 
 
 def ip_to_number(text: Column) -> Column:
-    """The number of a dotted IPv4 address (INET_ATON)."""
+    """The number of a dotted IPv4 address (INET_ATON); null for anything else."""
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
     part = [F.try_element_at(F.split(text, r"\."), F.lit(i)).try_cast("long") for i in range(1, 5)]
-    return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
+    number = part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
+    return F.when(text.rlike(rf"^{octet}(\.{octet}){{3}}$"), number)
 
 
 def number_to_ip(n: Column) -> Column:
@@ -112,9 +116,45 @@ def date_pattern(text: str) -> str:
     return "".join([*out, quoted()])
 
 
+def _ordinal(ts: Column) -> Column:
+    day = F.dayofmonth(ts)
+    ending = F.when(day.isin(1, 21, 31), "st").when(day.isin(2, 22), "nd").when(day.isin(3, 23), "rd").otherwise("th")
+    return F.concat(day.cast("string"), ending)
+
+
+#: Letters that no Spark pattern has.
+OTHER_LETTERS = {
+    "l": lambda ts: F.date_format(ts, "h"),
+    "D": _ordinal,
+    "w": lambda ts: (F.dayofweek(ts) - 1).cast("string"),
+    "r": lambda ts: F.date_format(ts, "hh:mm:ss a"),
+    "U": lambda ts: F.lpad(F.floor((F.dayofyear(ts) + 6 - (F.dayofweek(ts) - 1)) / 7).cast("string"), 2, "0"),
+    "V": lambda ts: F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+    "v": lambda ts: F.lpad(F.weekofyear(ts).cast("string"), 2, "0"),
+    "x": lambda ts: F.extract(F.lit("YEAROFWEEK"), ts).cast("string"),
+}
+
+
 def date_format(ts: Column, text: str) -> Column:
-    """DATE_FORMAT with a MariaDB format."""
-    return F.date_format(ts, date_pattern(text))
+    """DATE_FORMAT with a MariaDB format; a letter that has no meaning here raises."""
+    parts, plain, at = [], "", 0
+    while at < len(text):
+        two = text[at : at + 2]
+        if len(two) == 2 and two[0] == "%":
+            if two[1] in OTHER_LETTERS:
+                parts += [F.date_format(ts, date_pattern(plain))] if plain else []
+                parts.append(OTHER_LETTERS[two[1]](ts))
+                plain = ""
+            elif two[1] in DATE_LETTERS or two[1] == "%":
+                plain += two
+            else:
+                raise ValueError(f"{two} of DATE_FORMAT")
+            at += 2
+        else:
+            plain += two[0]
+            at += 1
+    parts += [F.date_format(ts, date_pattern(plain))] if plain or not parts else []
+    return F.concat(*parts)
 
 
 def str_to_date(text: Column, form: str) -> Column:
@@ -141,10 +181,10 @@ def json_keys(text: Column) -> Column:
 
 
 def json_put(text: Column, key: str, value: Column) -> Column:
-    """A JSON object of scalars with one key set, keys in order (JSON_SET, JSONB_SET at the top level)."""
-    kept = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: k != key)
-    both = F.map_concat(kept, F.create_map(F.lit(key), value.cast("string")))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(both))))
+    """A JSON object with one key set to a value of any type, keys in order (JSON_SET, JSONB_SET at the top level)."""
+    from . import json
+
+    return json.put(text, [key], F.to_json(F.to_variant_object(F.array(value))).substr(F.lit(2), F.length(F.to_json(F.array(value))) - 2))
 
 
 def array_to_text(values: Column, separator: str, null: str | None = None) -> Column:

@@ -79,14 +79,14 @@ def fn_array(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.size(e).alias("n"), F.element_at(e, 1).alias("first"), F.array_max(e).alias("top"), F.array_min(e).alias("low"), F.exists(F.slice(e, 1, 3), lambda x: x > 0).alias("any_pos"), F.array_sort(F.array("label", F.lit(3), F.lit(1))).alias("sorted"), F.array_distinct(F.array("label", "label"))[0].alias("one"), F.slice(e, 1, 2).alias("head"))
 
 
-@query("SELECT vec_id, i::INT AS i, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings WHERE label = 1)")
+@query("SELECT vec_id, i::INT AS i, x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
 def unnest_ordinality(t: Tables) -> DataFrame:
-    return t.embeddings.filter("label = 1").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x"))
 
 
-@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(left(text, 200)), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2")
+@query("SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2")
 def fn_string_words(t: Tables) -> DataFrame:
-    words = t.documents.select("doc_id", F.explode(F.split(F.lower(F.left("text", F.lit(200))), " ")).alias("word"))
+    words = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
     return words.filter("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -96,11 +96,11 @@ def fn_cast(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.rint(b).cast("int").alias("i"), F.col("c_custkey").cast("string").alias("s"), b.cast("decimal(18,2)").cast("string").alias("d"), F.col("c_name").try_cast("int").alias("bad"), (b > 0).cast("int").alias("b"))
 
 
-@query("SELECT event_id, ip, a * 16777216 + b * 65536 + 256 + 7 AS n FROM (SELECT event_id, (event_id % 200) AS a, (user_id % 250) AS b, (event_id % 200) || '.' || (user_id % 250) || '.1.7' AS ip FROM events)")
+@query("SELECT event_id, CASE WHEN a < 256 THEN a || '.' || b || '.1.7' END AS ip, CASE WHEN a < 256 THEN a * 16777216 + b * 65536 + 256 + 7 END AS n FROM (SELECT event_id, (event_id % 300) AS a, (user_id % 250) AS b FROM events)")
 def fn_network(t: Tables) -> DataFrame:
-    ip = F.concat_ws(".", (F.col("event_id") % 200).cast("string"), (F.col("user_id") % 250).cast("string"), F.lit("1"), F.lit("7"))
+    ip = F.concat_ws(".", (F.col("event_id") % 300).cast("string"), (F.col("user_id") % 250).cast("string"), F.lit("1"), F.lit("7"))
     n = t.events.select("event_id", Q.ip_to_number(ip).alias("n"))
-    return n.select("event_id", Q.number_to_ip(F.col("n")).alias("ip"), "n")
+    return n.select("event_id", F.when(F.col("n").isNotNull(), Q.number_to_ip(F.col("n"))).alias("ip"), "n")
 
 
 @query("SELECT i::INT AS i, (DATE '2024-01-01' + i::INT)::DATE AS day FROM range(0, 60) r(i)")
