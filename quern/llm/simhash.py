@@ -17,9 +17,9 @@ sketch and within WIDE_BITS in all WIDE of them (texts with 0.8 of the shingles
 and 39 bits, with 2.7 and 5.5 as deviations; others in about 32 and 128). Candidates are verified by the
 Jaccard similarity of the shingles, and components are those of all similar candidates at every bucket size:
 a forest of a large bucket is of pairs near in fingerprint and first sketch, so where a link of it turns out
-not to be similar its bucket goes on in rounds. Nodes are joined by verified links alone, and each
-that is not in the largest group asks for its closest pairs with other groups that were not compared yet,
-in each round up to four times as many, until none is left.
+not to be similar its bucket goes on in rounds. Nodes are grouped by verified links alone, of all buckets, and
+each that is not in its bucket's largest group asks for its closest pairs with other groups that were not
+compared yet, in each round up to four times as many, until none is left.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
 text of fewer words than a shingle has one shingle, the whole. component_id is the smallest doc_id
@@ -275,27 +275,17 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
 
 
 def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
-    """Pairs of one large bucket that are to be compared next. A row is a node with its sketches (wide), or a
-    pair (b not null) that was compared."""
-    key, a, b, ok, prints, wide = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "wide"))
+    """Pairs of one large bucket that are to be compared next. A row is a node with its sketches (wide) and the
+    root of its group, or a pair (b not null) that was compared."""
+    key, a, b, root, prints, wide = (table.column(c).combine_chunks() for c in ("key", "a", "b", "root", "print", "wide"))
     pair = b.is_valid().to_numpy(zero_copy_only=False)
-    a = a.to_numpy()
+    a, own = a.to_numpy(), pa.array(~pair)
     node, first = np.unique(a[~pair], return_index=True)
-    prints = prints.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first]
-    wide = np.array(wide.filter(pa.array(~pair)).flatten()).reshape(-1, WIDE)[first]
+    prints = prints.filter(own).to_numpy(zero_copy_only=False)[first]
+    wide = np.array(wide.filter(own).flatten()).reshape(-1, WIDE)[first]
+    group = np.unique(root.filter(own).to_numpy(zero_copy_only=False)[first], return_inverse=True)[1]
     x, y = np.searchsorted(node, a[pair]), np.searchsorted(node, b.filter(pa.array(pair)).to_numpy(zero_copy_only=False))
-    good = ok.filter(pa.array(pair)).to_numpy(zero_copy_only=False).astype(bool)
-    above = list(range(len(node)))
-
-    def top(i: int) -> int:
-        while above[i] != i:
-            above[i] = i = above[above[i]]
-        return i
-
-    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
-        above[top(i)] = top(j)
-    group = np.array([top(i) for i in range(len(node))])
-    ends, others = np.concatenate([x[~good], y[~good]]), np.concatenate([y[~good], x[~good]])
+    ends, others = np.concatenate([x, y]), np.concatenate([y, x])
     order = np.argsort(ends, kind="stable")
     ends, others = ends[order], others[order]
     cut = np.searchsorted(ends, np.arange(len(node) + 1))
@@ -347,29 +337,35 @@ def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
     return ask
 
 
+def _with_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of each node of edges, the roots included."""
+    member = components(edges)
+    return member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
+
+
 def _all_similar(places: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, max_bits: int) -> DataFrame:
-    """Links (a, b) of similar texts whose components are those of all similar candidates. places: rows of
-    _places; links: of _links; sets: node, wide and shingles of each node that has a link."""
-    asked, most, rounds = links, ASKED, []
-    similar = None
+    """(node, root) of the components of all similar candidates. places: rows of _places; links: of _links;
+    sets: node, wide and shingles of each node that has a link."""
+    pairs = written(links.select("a", "b").distinct(), "pairs")
+    good = written(_similar(pairs, sets, similarity), "similar")
+    similar, compared, most = good, links.filter("key >= 0"), ASKED
+    # a forest whose links all hold leaves nothing open
+    going = compared.join(good, ["a", "b"], "left_anti").select("key").distinct()
+    if going.isEmpty():
+        return _with_roots(similar)
+    nodes = places.select("key", "print", F.col("node").alias("a")).join(going, "key", "left_semi")  # those without a link have no candidate
+    nodes = written(nodes.join(sets.select(F.col("node").alias("a"), "wide"), "a").select("key", "a", "print", "wide"), "open")
     while True:
-        good = written(_similar(asked.select("a", "b").distinct(), sets, similarity), "similar")
-        similar = good if similar is None else similar.unionByName(good)
-        large = asked.filter("key >= 0")
-        rounds.append(written(large.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "compared"))
-        # a forest whose links all hold leaves nothing open; later rounds end with a bucket that asks for nothing
-        going = (rounds[0].filter("not ok") if len(rounds) == 1 else large).select("key").distinct()
-        if going.isEmpty():
-            return similar.distinct()
-        if len(rounds) == 1:  # nodes without a link have no candidate
-            nodes = places.select("key", "print", F.col("node").alias("a")).join(going, "key", "left_semi").join(sets.select(F.col("node").alias("a"), "wide"), "a")
-            nodes = written(nodes.select("key", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "wide"), "open")
-        compared = rounds[0]
-        for more in rounds[1:]:
-            compared = compared.unionByName(more)
-        rows = nodes.unionByName(compared.select("key", "a", "b", "ok"), allowMissingColumns=True).join(going, "key", "left_semi")
+        roots = written(_with_roots(similar), "roots")
+        grouped = nodes.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        rows = grouped.withColumn("b", F.lit(None).cast("long")).unionByName(compared.select("key", "a", "b"), allowMissingColumns=True).join(going, "key", "left_semi")
         asked = written(rows.groupBy("key").applyInArrow(_asking(max_bits, most), "a long, b long, key int"), "asked")
-        most *= 4
+        if asked.isEmpty():
+            return roots
+        new = written(asked.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        similar = similar.unionByName(written(_similar(new, sets, similarity), "similar"))
+        pairs, compared = pairs.unionByName(new), compared.unionByName(asked.select(compared.columns))
+        going, most = asked.select("key").distinct(), 4 * most
 
 
 def _meeting(places: DataFrame, max_bits: int) -> DataFrame:
@@ -416,8 +412,7 @@ def near_classes(texts: DataFrame, words: int = WORDS, similarity: float = SIMIL
     of = nodes.groupBy("node").agg(F.min("tid").alias("tid")).join(ends, "node").select("node", "tid")
     own = slim.select("tid", "text").join(of.hint("shuffle_hash"), "tid").select("node", "text")
     sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, wide array<bigint>, shingles array<int>"), "shingles")
-    member = components(_all_similar(places, links, sets, similarity, max_bits))  # without the roots
-    member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
+    member = _all_similar(places, links, sets, similarity, max_bits)
     return of.join(member, "node").join(nodes.select("tid", "doc"), "tid").select("tid", "doc", "root")
 
 
