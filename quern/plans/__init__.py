@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, changes, dialects, joins, jsons, more, numbers, scalars, statements, times, windows  # noqa: F401
+from . import aggregates, changes, dialects, joins, jsons, more, numbers, scalars, search, statements, times, windows  # noqa: F401
 from .registry import QUERIES, SQL
 
 
