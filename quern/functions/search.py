@@ -50,9 +50,12 @@ def matches(vector: Column, query: list[str]) -> Column:
 def matches_phrase(vector: Column, query: list[str]) -> Column:
     """@@ PHRASETO_TSQUERY, TSQUERY_PHRASE: the lexemes follow one another."""
     begins = F.coalesce(F.element_at(vector, F.lit(query[0])), F.array().cast("array<int>"))
+
+    def before(word: str, step: int) -> Column:
+        return F.transform(F.coalesce(F.element_at(vector, F.lit(word)), F.array().cast("array<int>")), lambda i: i - step)
+
     for step, word in enumerate(query[1:], 1):
-        here = F.transform(F.coalesce(F.element_at(vector, F.lit(word)), F.array().cast("array<int>")), lambda i, step=step: i - step)
-        begins = F.array_intersect(begins, here)
+        begins = F.array_intersect(begins, before(word, step))
     return F.size(begins) > 0
 
 
