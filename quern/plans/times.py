@@ -44,13 +44,13 @@ def fn_date_arithmetic(t: Tables) -> DataFrame:
 @query("""WITH p AS (SELECT event_id, (event_id % 80000)::BIGINT AS s FROM events), q AS (SELECT event_id, s, s + 3723 AS more, s - 3723 AS less FROM p)
 SELECT event_id, lpad((more // 3600)::VARCHAR, 2, '0') || ':' || lpad((more // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((more % 60)::VARCHAR, 2, '0') AS added,
 CASE WHEN less < 0 THEN '-' ELSE '' END || lpad((abs(less) // 3600)::VARCHAR, 2, '0') || ':' || lpad((abs(less) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((abs(less) % 60)::VARCHAR, 2, '0') AS diff,
-lpad((s % 30)::VARCHAR, 2, '0') || ':10:59' AS made, (s // 3600) || 'h ' || (s // 60 % 60) AS formatted, CASE WHEN s >= 1000 THEN printf('%.2f ns', s / 1000) ELSE s || ' ps' END AS pico FROM q""")
+lpad((s % 30)::VARCHAR, 2, '0') || ':10:59' AS made, (s // 3600) || 'h ' || (s // 60 % 60) AS formatted, CASE WHEN s >= 1000 THEN printf('%.2f ns', (s // 10 * 10) / 1000) ELSE (s // 10 * 10) || ' ps' END AS pico FROM q""")
 def fn_time_arithmetic(t: Tables) -> DataFrame:
     """ADDTIME, SUBTIME, TIMEDIFF, MAKETIME, TIME_FORMAT, FORMAT_PICO_TIME."""
     s = F.col("event_id") % 80000
     time = Q.seconds_to_time(s)
     parts = F.split(time, ":").cast("array<int>")
-    return t.events.select("event_id", D.add_time(time, F.lit("01:02:03")).alias("added"), D.sub_time(time, F.lit("01:02:03")).alias("diff"), D.make_time(s % 30, F.lit(10), F.lit(59)).alias("made"), F.concat(parts[0].cast("string"), F.lit("h "), parts[1].cast("string")).alias("formatted"), D.format_pico_time(s).alias("pico"))
+    return t.events.select("event_id", D.add_time(time, F.lit("01:02:03")).alias("added"), D.sub_time(time, F.lit("01:02:03")).alias("diff"), D.make_time(s % 30, F.lit(10), F.lit(59)).alias("made"), F.concat(parts[0].cast("string"), F.lit("h "), parts[1].cast("string")).alias("formatted"), D.format_pico_time(s - s % 10).alias("pico"))
 
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%-I o''clock') AS clock, CASE WHEN day(o_orderdate) IN (1, 21, 31) THEN day(o_orderdate) || 'st' WHEN day(o_orderdate) IN (2, 22) THEN day(o_orderdate) || 'nd' WHEN day(o_orderdate) IN (3, 23) THEN day(o_orderdate) || 'rd' ELSE day(o_orderdate) || 'th' END AS nth,
