@@ -15,11 +15,12 @@ different words, seeded differently, and sketches, fingerprints of the set of it
 words. A candidate is a pair within max_bits in one of the fingerprints, within SKETCH_BITS in the first
 sketch and within WIDE_BITS in all WIDE of them (texts with 0.8 of the shingles in common differ in about 10
 and 39 bits, with 2.7 and 5.5 as deviations; others in about 32 and 128). Candidates are verified by the
-Jaccard similarity of the shingles, and components are those of all similar candidates at every bucket size:
-a forest of a large bucket is of pairs near in fingerprint and first sketch, so where a link of it turns out
-not to be similar its bucket goes on in rounds. Nodes are joined by verified links alone, and each
-that is not in the largest group asks for its closest pairs with other groups that were not compared yet,
-in each round up to four times as many, until none is left.
+Jaccard similarity of the shingles, and components are those of all similar candidates at every bucket size.
+A forest of a large bucket is of pairs near in fingerprint and first sketch, so where a link of it turns out
+not to be similar, the component of candidates around it stays open. Its nodes are grouped by verified links
+alone, and each that is not in the largest group is compared with all its candidates of other groups: both
+sides are dealt into blocks of about BLOCK shingles, a task compares one block of askers with one of nodes,
+and only links that join two groups leave it.
 
 Edge cases: a null or empty text, or one without words, has fingerprint zero, linked like any other. A
 text of fewer words than a shingle has one shingle, the whole. component_id is the smallest doc_id
@@ -38,6 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,8 +70,9 @@ SKETCH_BITS = 18
 WIDE_BITS = 54
 #: Differing bits of sketches up to which the links of a large bucket are sought, one after another.
 LEVELS = (5, 10, 14, SKETCH_BITS)
-#: Pairs that a node of a large bucket asks for in the first round after the forest.
-ASKED = 4
+#: Shingles of the askers, and of the others, in one block of comparisons; what a node weighs besides its own.
+BLOCK = 1 << 20
+NODE_WEIGHT = 1024
 
 
 def fingerprint(data: bytes, size: int = SHINGLE) -> int:
@@ -274,43 +277,47 @@ def _links(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.Reco
         yield _met(*[np.concatenate(x) for x in zip(*held, strict=True)], max_bits=max_bits)
 
 
-def _asked(table: pa.Table, max_bits: int, most: int) -> pa.Table:
-    """Pairs of one large bucket that are to be compared next. A row is a node with its sketches (wide), or a
-    pair (b not null) that was compared."""
-    key, a, b, ok, prints, wide = (table.column(c).combine_chunks() for c in ("key", "a", "b", "ok", "print", "wide"))
-    pair = b.is_valid().to_numpy(zero_copy_only=False)
-    a = a.to_numpy()
-    node, first = np.unique(a[~pair], return_index=True)
-    prints = prints.filter(pa.array(~pair)).to_numpy(zero_copy_only=False)[first]
-    wide = np.array(wide.filter(pa.array(~pair)).flatten()).reshape(-1, WIDE)[first]
-    x, y = np.searchsorted(node, a[pair]), np.searchsorted(node, b.filter(pa.array(pair)).to_numpy(zero_copy_only=False))
-    good = ok.filter(pa.array(pair)).to_numpy(zero_copy_only=False).astype(bool)
-    above = list(range(len(node)))
+def _compared(table: pa.Table, max_bits: int, similarity: float) -> pa.Table:
+    """Links (a, b) of similar texts between the askers and the others of one block, as far as they join
+    groups that are not joined yet."""
+    asking = table.filter(table.column("asking"))
+    rest = table.filter(pc.invert(table.column("asking")))
+    if not len(asking) or not len(rest):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    a, b = ({c: t.column(c).to_numpy() for c in ("node", "group", "open")} for t in (asking, rest))
+    prints, wide = ([_matrix(t.column(c)) for t in (asking, rest)] for c in ("prints", "wide"))
+    ids = rest.column("shingles").combine_chunks()
+    size = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(size) - size
+    known, held = np.unique(ids.flatten().to_numpy(), return_inverse=True)
+    group = np.concatenate([a["group"], b["group"]])
+    mine, others = group[: len(asking)], group[len(asking) :]
+    found: list[tuple[int, int]] = []
+    own = asking.column("shingles").combine_chunks()
+    for i in range(len(asking)):
+        bits = _bits(wide[1] ^ wide[0][i])
+        near = (_bits(prints[1] ^ prints[0][i]) <= max_bits).any(axis=1) & (bits[:, 0] <= SKETCH_BITS) & (bits.sum(axis=1, dtype=np.int64) <= WIDE_BITS)
+        near &= (others != mine[i]) & (~b["open"] | (b["node"] < a["node"][i]))  # two that ask are compared once
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        mark = np.zeros(len(known), bool)
+        shingled = own[i].values.to_numpy()
+        mark[np.searchsorted(known, shingled[np.isin(shingled, known)])] = True
+        n = size[at]
+        ends = np.cumsum(n)
+        hits = np.append(0, np.cumsum(mark[held[np.repeat(begin[at] - ends + n, n) + np.arange(n.sum())]]))
+        common = hits[ends] - hits[ends - n]
+        for j in at[common >= similarity * (len(shingled) + n - common)].tolist():
+            if others[j] != mine[i]:
+                found.append((max(a["node"][i], b["node"][j]), min(a["node"][i], b["node"][j])))
+                group[group == others[j]] = mine[i]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def top(i: int) -> int:
-        while above[i] != i:
-            above[i] = i = above[above[i]]
-        return i
 
-    for i, j in zip(x[good].tolist(), y[good].tolist(), strict=True):
-        above[top(i)] = top(j)
-    group = np.array([top(i) for i in range(len(node))])
-    ends, others = np.concatenate([x[~good], y[~good]]), np.concatenate([y[~good], x[~good]])
-    order = np.argsort(ends, kind="stable")
-    ends, others = ends[order], others[order]
-    cut = np.searchsorted(ends, np.arange(len(node) + 1))
-    found = []
-    for i in np.flatnonzero(group != np.bincount(group).argmax()).tolist():
-        bits = _bits(wide ^ wide[i])
-        far = bits.sum(axis=1, dtype=np.int64)
-        near = (_bits(prints ^ prints[i]) <= max_bits) & (bits[:, 0] <= SKETCH_BITS) & (far <= WIDE_BITS) & (group != group[i])
-        near[others[cut[i] : cut[i + 1]]] = False
-        at = np.flatnonzero(near)
-        if len(at) > most:
-            at = at[np.argsort(far[at], kind="stable")[:most]]
-        found.append(np.stack([np.maximum(node[at], node[i]), np.minimum(node[at], node[i])], axis=1))
-    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "key": np.full(len(pairs), key[0].as_py(), np.int32)})
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy().reshape(len(lists), -1)
 
 
 def shingles(data: bytes, size: int) -> np.ndarray:
@@ -327,7 +334,7 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             sets = [shingles(t, size) for t in part.column("text").cast(pa.binary()).to_pylist()]
             wide = np.array([wide_sketch(x) for x in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
             short = [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(list(wide), pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], ["node", "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("prints"), pa.array(list(wide), pa.list_(pa.int64())), pa.array(short, pa.list_(pa.int32()))], ["node", "prints", "wide", "shingles"])
 
 
 def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -340,36 +347,41 @@ def _similar(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(F.col("common") >= similarity * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
-def _asking(max_bits: int, most: int) -> Callable[[pa.Table], pa.Table]:
-    def ask(table: pa.Table) -> pa.Table:
-        return _asked(table, max_bits, most)
-
-    return ask
-
-
-def _all_similar(places: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, max_bits: int) -> DataFrame:
-    """Links (a, b) of similar texts whose components are those of all similar candidates. places: rows of
-    _places; links: of _links; sets: node, wide and shingles of each node that has a link."""
-    asked, most, rounds = links, ASKED, []
-    similar = None
-    while True:
-        good = written(_similar(asked.select("a", "b").distinct(), sets, similarity), "similar")
-        similar = good if similar is None else similar.unionByName(good)
-        large = asked.filter("key >= 0")
-        rounds.append(written(large.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").withColumn("ok", F.coalesce("ok", F.lit(False))), "compared"))
-        # a forest whose links all hold leaves nothing open; later rounds end with a bucket that asks for nothing
-        going = (rounds[0].filter("not ok") if len(rounds) == 1 else large).select("key").distinct()
-        if going.isEmpty():
-            return similar.distinct()
-        if len(rounds) == 1:  # nodes without a link have no candidate
-            nodes = places.select("key", "print", F.col("node").alias("a")).join(going, "key", "left_semi").join(sets.select(F.col("node").alias("a"), "wide"), "a")
-            nodes = written(nodes.select("key", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("ok"), "print", "wide"), "open")
-        compared = rounds[0]
-        for more in rounds[1:]:
-            compared = compared.unionByName(more)
-        rows = nodes.unionByName(compared.select("key", "a", "b", "ok"), allowMissingColumns=True).join(going, "key", "left_semi")
-        asked = written(rows.groupBy("key").applyInArrow(_asking(max_bits, most), "a long, b long, key int"), "asked")
-        most *= 4
+def _comparing(max_bits: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    def compare(table: pa.Table) -> pa.Table:
+        return _compared(table, max_bits, similarity)
+
+    return compare
+
+
+def _members(stars: DataFrame, name: str) -> DataFrame:
+    """Of components(...), which has no rows of the roots: each node with its root, in a column of this name."""
+    member = stars.withColumnRenamed("root", name)
+    return member.unionByName(member.select(F.col(name).alias("node"), name).distinct())
+
+
+def _all_similar(links: DataFrame, sets: DataFrame, similarity: float, max_bits: int) -> DataFrame:
+    """Links (a, b) of similar texts whose components are those of all similar candidates. links: of _links;
+    sets: node, prints, wide and shingles of each node that has a link."""
+    good = written(_similar(links.select("a", "b").distinct(), sets, similarity), "similar")
+    failed = links.filter("key >= 0").join(good, ["a", "b"], "left_anti")
+    if failed.isEmpty():  # forests whose links all hold leave nothing open
+        return good
+    whole, joined = _members(components(links), "root"), components(good)
+    going = whole.join(failed.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct()
+    nodes = whole.join(going, "root", "left_semi").join(_members(joined, "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    nodes = written(nodes.join(sets, "node"), "open")
+    weight = (F.size("shingles") + NODE_WEIGHT).cast("long")
+    groups = nodes.groupBy("root", "group").agg(F.sum(weight).alias("weight"), F.count(F.lit(1)).alias("n"))
+    roots = groups.groupBy("root").agg(F.max_by(F.struct("group", "weight"), F.struct("n", "group")).alias("main"), F.sum("weight").alias("weight"))
+    roots = roots.select("root", F.col("main.group").alias("main"), F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("weight") - F.col("main.weight")) / BLOCK).cast("int").alias("ask_blocks"))
+    dealt = nodes.join(roots.filter("ask_blocks > 0"), "root").withColumn("open", F.col("group") != F.col("main"))
+    place = F.xxhash64("node", F.lit(SEED))
+    own = ["root", "node", "group", "open", "prints", "wide", "shingles"]
+    ask = dealt.filter("open").select(*own, F.lit(True).alias("asking"), F.pmod(place, "ask_blocks").cast("int").alias("ask_block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rest = dealt.select(*own, F.lit(False).alias("asking"), F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask_block"), F.pmod(place, "blocks").cast("int").alias("block"))
+    more = ask.unionByName(rest).groupBy("root", "ask_block", "block").applyInArrow(_comparing(max_bits, similarity), "a long, b long")
+    return joined.toDF("a", "b").unionByName(written(more, "more"))
 
 
 def _meeting(places: DataFrame, max_bits: int) -> DataFrame:
@@ -413,12 +425,11 @@ def near_classes(texts: DataFrame, words: int = WORDS, similarity: float = SIMIL
     places = one.select("family", "print", "sketch", "node").mapInArrow(_places, "key int, print long, sketch long, node long")
     links = written(_meeting(places, max_bits).distinct(), "links")
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    of = nodes.groupBy("node").agg(F.min("tid").alias("tid")).join(ends, "node").select("node", "tid")
-    own = slim.select("tid", "text").join(of.hint("shuffle_hash"), "tid").select("node", "text")
-    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, wide array<bigint>, shingles array<int>"), "shingles")
-    member = components(_all_similar(places, links, sets, similarity, max_bits))  # without the roots
-    member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
-    return of.join(member, "node").join(nodes.select("tid", "doc"), "tid").select("tid", "doc", "root")
+    of = nodes.groupBy("node").agg(F.min(F.struct("tid", "prints")).alias("x")).join(ends, "node").select("node", "x.tid", "x.prints")
+    own = slim.select("tid", "text").join(of.hint("shuffle_hash"), "tid").select("node", "prints", "text")
+    sets = written(own.mapInArrow(partial(_shingled, size=words), "node long, prints array<bigint>, wide array<bigint>, shingles array<int>"), "shingles")
+    member = _members(components(_all_similar(links, sets, similarity, max_bits)), "root")
+    return of.select("node", "tid").join(member, "node").join(nodes.select("tid", "doc"), "tid").select("tid", "doc", "root")
 
 
 def near_dedup(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, max_bits: int = MAX_BITS, families: int = FAMILIES) -> DataFrame:

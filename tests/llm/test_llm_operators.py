@@ -440,7 +440,9 @@ def test_near_dedup(spark, none):
     assert simhash.near_dedup(none).count() == 0
 
 
-def test_near_dedup_compares_all_of_a_large_bucket(spark):
+@pytest.mark.parametrize("block", [simhash.BLOCK, 100_000])
+def test_near_dedup_compares_all_of_a_large_bucket(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = [f"word{i}" for i in range(600)]
     rows = []
