@@ -1,12 +1,10 @@
 """Operator 7, suffix-array dedup: bytes of strings that occur more than once in the corpus.
 
-Bucket-pointer refinement. The initial buckets are those of the 8-byte strings at each position.
-A bucket is refined by the identifiers of the buckets at a later offset (8, 16, ... bytes on), and
-each refinement reuses the identifiers that the one before has updated, until a bucket stands for
-equal strings of 256 and then of 400 bytes. Identifiers are computed from content, so a bucket has
-the same one on all executors and no pointer has to be fetched. Sorting by bucket then takes place
-for a sample of positions that every repeated string contains (grams.anchors); buckets of one
-position are dropped, the others are refined to whole strings (repeats.repeated_windows).
+Not bucket-pointer refinement by sorting, which needs a row for each byte of the corpus (README says why and
+gives figures). Identifiers of strings of 8, 16, ... 256 and 400 bytes are made by doubling from content,
+each from those before at a later offset, so equal strings have equal ones on all executors. Of the positions
+only a sample that every repeated string contains is exchanged (grams.anchors); those that are alone are
+dropped, the others are extended to whole strings (repeats.repeated_windows).
 
 Edge cases: a null or empty text has no bytes and no spans. A text shorter than `length` keeps all
 its bytes. Rows with equal texts count as different documents even if their ids are equal or null,
